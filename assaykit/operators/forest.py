@@ -7,9 +7,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from assaykit.functions.vectors import impute
 from assaykit.operators.cells import stacked
-from assaykit.operators.rows import canonical, finite_medians
+from assaykit.operators.rows import canonical, imputed
 
 # Forest size and sample per tree (fixed values).
 TREES = 100
@@ -19,7 +18,7 @@ EULER_GAMMA = 0.5772156649015329
 # Drawn on top of the wanted sample, so that a hash draw is practically never short.
 _OVERDRAW = 1.1
 
-_NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
+_NODES = "tree int, node int, feature int, threshold double, child int, path double"
 
 
 def average_path(n):
@@ -31,116 +30,123 @@ def average_path(n):
 
 
 def grown_tree(matrix, rng):
-    """Node table of one tree: random feature and threshold until isolated or deep enough.
+    """``(feature, threshold, child, path)`` arrays of one tree, grown level by level.
 
-    A leaf carries the path length it stands for.  Features are drawn among those
-    that still vary in the node.
+    A node with rows that differ gets a random varying feature and a random threshold
+    between its extremes; rows above it go to node ``child + 1``, the others to
+    ``child``.  A leaf is its own child, never sends a row on, and carries the path
+    length it stands for.
     """
     deepest = int(np.ceil(np.log2(max(len(matrix), 2))))
-    nodes = []
-    waiting = [(np.arange(len(matrix)), 0, None, None)]
-    while waiting:
-        members, depth, parent, side = waiting.pop()
-        at = len(nodes)
-        if parent is not None:
-            nodes[parent][side] = at
-        block = matrix[members]
-        low, high = block.min(axis=0), block.max(axis=0)
-        varied = np.flatnonzero(high > low)
-        if depth >= deepest or len(members) <= 1 or not len(varied):
-            nodes.append([-1, 0.0, -1, -1, depth + float(average_path(len(members)))])
-            continue
-        feature = int(rng.choice(varied))
-        threshold = float(rng.uniform(low[feature], high[feature]))
-        goes_left = block[:, feature] <= threshold
-        if goes_left.all():
-            threshold = float(np.nextafter(high[feature], low[feature]))
-            goes_left = block[:, feature] <= threshold
-        nodes.append([feature, threshold, -1, -1, 0.0])
-        waiting.append((members[~goes_left], depth + 1, at, 3))
-        waiting.append((members[goes_left], depth + 1, at, 2))
-    return nodes
+    feature, threshold, child, path = [], [], [], []
+    rows, node = np.arange(len(matrix)), np.zeros(len(matrix), dtype=int)
+    first, width = 0, 1
+    for depth in range(deepest + 1):
+        order = np.argsort(node, kind="stable")
+        rows, node = rows[order], node[order]
+        counts = np.bincount(node - first, minlength=width)
+        starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        block = matrix[rows]
+        low, high = np.minimum.reduceat(block, starts, axis=0), np.maximum.reduceat(block, starts, axis=0)
+        varied = high > low
+        splits = varied.any(axis=1) & (depth < deepest)
+        chosen = np.where(varied, rng.random(varied.shape), -1.0).argmax(axis=1)
+        each = np.arange(width)
+        low, high = low[each, chosen], high[each, chosen]
+        cut = low + (high - low) * rng.random(width)
+        cut = np.where(cut < high, cut, low)
+        places = first + width + 2 * (np.cumsum(splits) - 1)
+        feature.append(np.where(splits, chosen, 0))
+        threshold.append(np.where(splits, cut, np.inf))
+        child.append(np.where(splits, places, first + each))
+        path.append(np.where(splits, 0.0, depth + average_path(counts)))
+        onward = splits[node - first]
+        rows, node = rows[onward], node[onward]
+        at = node - first
+        node = places[at] + (matrix[rows, chosen[at]] > cut[at])
+        first, width = first + width, 2 * int(splits.sum())
+        if not width:
+            break
+    return [np.concatenate(part) for part in (feature, threshold, child, path)]
 
 
 @dataclass
 class IsolationForest:
-    """A fitted forest: node arrays of all trees, and the medians that fill invalid cells."""
+    """A fitted forest: the node arrays of all trees."""
 
     roots: np.ndarray
     feature: np.ndarray
     threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    child: np.ndarray
     path: np.ndarray
-    fill: list
+    width: int
     sample: int
+    depth: int
 
     def score(self, rows):
         """``(row_id, score)``: ``2 ** -(mean path / expected path)``, higher is more anomalous."""
-        forest, width, expected = self, len(self.fill), float(average_path(self.sample))
+        forest, width, expected = self, self.width, float(average_path(self.sample))
 
         @F.pandas_udf("double")
         def anomaly(features: pd.Series) -> pd.Series:
             matrix = stacked(features, width)
-            every = np.arange(len(matrix))
+            cells, start = matrix.ravel(), np.arange(len(matrix)) * width
             total = np.zeros(len(matrix))
             for root in forest.roots:
                 at = np.full(len(matrix), root)
-                walking = every
-                while len(walking):
-                    walking = walking[forest.feature[at[walking]] >= 0]
-                    node = at[walking]
-                    left = matrix[walking, forest.feature[node]] <= forest.threshold[node]
-                    at[walking] = np.where(left, forest.left[node], forest.right[node])
+                for _ in range(forest.depth):
+                    above = cells[start + forest.feature[at]] > forest.threshold[at]
+                    at = forest.child[at] + above
                 total += forest.path[at]
             return pd.Series(np.power(2.0, -total / len(forest.roots) / max(expected, 1e-12)))
 
-        fill = F.array(*[F.lit(m) for m in self.fill])
-        return rows.select("row_id", anomaly(impute(F.col("features"), fill)).alias("score"))
+        return rows.select("row_id", anomaly("features").alias("score"))
 
 
 def tree_samples(rows, total, trees=TREES, sample=SAMPLE, seed=42):
     """``(tree, row_id, features)``: ``min(sample, total)`` rows per tree without replacement.
 
-    Every row draws one hash per tree and is kept where it is small, so a scan emits
-    only about as many rows as the samples need.
+    In a large table one hash sends a row to one tree or none, so a scan emits about
+    as many rows as the samples need.  In a small one, where samples must overlap,
+    every row draws a hash per tree.
     """
     share = min(1.0, _OVERDRAW * sample / total)
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(
-            t.alias("tree"),
-            (F.pmod(F.xxhash64(F.lit(seed), t, F.col("row_id")), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("u"),
-        ),
-    )
-    drawn = rows.select("row_id", "features", F.explode(F.filter(draws, lambda d: d["u"] < share)).alias("d"))
+
+    def uniform(*parts):
+        return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+    if share * trees <= 1:
+        place = uniform(F.col("row_id")) / F.lit(share)
+        drawn = rows.select("row_id", "features", F.floor(place).cast("int").alias("tree"), place.alias("u"))
+        drawn = drawn.filter(F.col("tree") < trees)
+    else:
+        every = rows.select("row_id", "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        drawn = every.withColumn("u", uniform(F.col("tree"), F.col("row_id"))).filter(F.col("u") < F.lit(share))
     order = Window.partitionBy("tree").orderBy("u", "row_id")
     return (
-        drawn.select("row_id", "features", "d.tree", "d.u")
-        .withColumn("_r", F.row_number().over(order))
+        drawn.withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") <= sample)
         .select("tree", "row_id", "features")
     )
 
 
-def fit_forest(rows, trees=TREES, sample=SAMPLE, seed=42):
-    """Grow one tree per group of at most ``sample`` rows.
+def fit_forest(filled, trees=TREES, sample=SAMPLE, seed=42):
+    """Grow one tree per group of at most ``sample`` rows without invalid cells.
 
     The fitted nodes come to the driver as the model: at most ``2 * trees * sample``
     whatever the table holds.
     """
-    total = rows.count()
+    total = filled.count()
     if not total:
         raise ValueError("no rows to fit on")
     drawn = min(sample, total)
-    fill = [r["median"] for r in finite_medians(rows).orderBy("pos").collect()]
-    filled = rows.withColumn("features", impute(F.col("features"), F.array(*[F.lit(m) for m in fill])))
+    width = len(filled.select("features").first()["features"])
 
     def grow(key, group):
         tree = int(key[0])
         ordered = group.sort_values("row_id")
-        nodes = grown_tree(stacked(ordered["features"], len(fill)), np.random.default_rng([seed, tree]))
-        out = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "path"])
+        nodes = grown_tree(stacked(ordered["features"], width), np.random.default_rng([seed, tree]))
+        out = pd.DataFrame(dict(zip(["feature", "threshold", "child", "path"], nodes)))
         out.insert(0, "node", range(len(out)))
         out.insert(0, "tree", tree)
         return out
@@ -149,20 +155,15 @@ def fit_forest(rows, trees=TREES, sample=SAMPLE, seed=42):
     nodes = grown.toPandas().sort_values(["tree", "node"])
     sizes = nodes.groupby("tree").size()
     starts = np.concatenate(([0], np.cumsum(sizes.to_numpy())[:-1]))
-    shift = np.repeat(starts, sizes.to_numpy())
-
-    def child(name):
-        place = nodes[name].to_numpy()
-        return np.where(place >= 0, place + shift, -1)
-
+    child = nodes["child"].to_numpy() + np.repeat(starts, sizes.to_numpy())
+    depth = int(np.ceil(np.log2(max(drawn, 2))))
     return IsolationForest(
-        starts, nodes["feature"].to_numpy(), nodes["threshold"].to_numpy(), child("left"), child("right"),
-        nodes["path"].to_numpy(), fill, drawn,
+        starts, nodes["feature"].to_numpy(), nodes["threshold"].to_numpy(), child, nodes["path"].to_numpy(), width, drawn, depth
     )
 
 
 def isolation_forest_scores(df, key, features, label=None, include_label=False, trees=TREES, sample=SAMPLE, seed=42):
     """``(row_id, score)`` of a forest fitted on the same table."""
     names = [*features, label] if include_label and label else features
-    rows = canonical(df, key, None, names)
+    rows = imputed(canonical(df, key, None, names))
     return fit_forest(rows, trees, sample, seed).score(rows)

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from assaykit.functions.hashing import stable_uniform
 from assaykit.functions.scalars import not_nan_or_null
 from assaykit.functions.vectors import row_quantile
 from assaykit.operators.ranking import hash_take
@@ -27,15 +28,34 @@ def sn_of_sample(values):
 def sn_scale(rows, sample=SN_SAMPLE, seed=42):
     """``(pos, sn)`` on the first ``sample`` non-NaN values of each feature in hash order.
 
-    The groups handed to pandas hold at most ``sample`` values each, whatever the table.
+    A share of the rows, small at first, is tried until every feature has enough
+    values among them, so that a dense table is not exploded for a sample.  The groups
+    handed to pandas hold at most ``sample`` values each, whatever the table.
     """
-    cells = long_features(rows).withColumn("value", not_nan_or_null("value")).filter(F.col("value").isNotNull())
+    width = len((rows.select("features").first() or [[]])[0])
+    hashed = rows.withColumn("_draw", stable_uniform("row_id", seed))
+    share = min(1.0, 2.0 * sample / max(1, rows.count()))
+    while True:
+        cells = _values(hashed.filter(F.col("_draw") < F.lit(share)))
+        if share == 1.0:
+            break
+        filled = cells.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= sample).count()
+        if filled == width:
+            break
+        share = min(1.0, 8.0 * share)
     taken = hash_take(cells, "row_id", sample, seed, ["pos"]).select("pos", "value")
 
     def scale(pos, group):
         return pd.DataFrame({"pos": [pos[0]], "sn": [sn_of_sample(group["value"].to_numpy(dtype=np.float64))]})
 
-    return taken.groupBy("pos").applyInPandas(scale, "pos int, sn double")
+    known = taken.groupBy("pos").applyInPandas(scale, "pos int, sn double")
+    # A feature without any value has no scale.
+    every = rows.sparkSession.range(width).select(F.col("id").cast("int").alias("pos"))
+    return every.join(known, "pos", "left")
+
+
+def _values(rows):
+    return long_features(rows).withColumn("value", not_nan_or_null("value")).filter(F.col("value").isNotNull())
 
 
 def statistical_outlier_scores(df, key, features, label=None, include_label=False, sample=SN_SAMPLE,
@@ -49,7 +69,7 @@ def statistical_outlier_scores(df, key, features, label=None, include_label=Fals
     names = [*features, label] if include_label and label else features
     rows = canonical(df, key, None, names)
     medians = per_feature_array(column_medians(rows), "median", "medians")
-    scales = per_feature_array(_all_positions(rows, sn_scale(rows, sample, seed)), "sn", "scales")
+    scales = per_feature_array(sn_scale(rows, sample, seed), "sn", "scales")
     centred = rows.withColumns({"medians": medians, "scales": scales})
     deviations = F.transform(
         F.zip_with("features", F.arrays_zip("medians", "scales"), _deviation),
@@ -62,7 +82,3 @@ def _deviation(x, centre):
     scale = centre["scales"]
     return F.abs(x - centre["medians"]) / F.when((scale == 0) | F.isnan(scale), F.lit(None)).otherwise(scale)
 
-
-def _all_positions(rows, stats):
-    positions = long_features(rows).groupBy("pos").agg(F.count(F.lit(1)).alias("_n")).select("pos")
-    return positions.join(stats, "pos", "left")

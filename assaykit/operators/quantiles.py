@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from assaykit.functions.scalars import not_nan_or_null
 
 # Distinct values one task may hold for a group while it picks the final order statistics.
-EXACT_LIMIT = 500_000
+EXACT_LIMIT = 1_000_000
 _GRID = 256
 
 
@@ -19,12 +19,19 @@ def exact_quantiles(df, value, quantiles, by=(), name="quantiles", limit=EXACT_L
     holds at most ``limit`` distinct values, and only those are sorted.
     """
     by = list(by)
-    # A grand total is a group of its own; it keeps its one row when the input is empty.
-    base = df.select(*by, not_nan_or_null(value).alias("_v")).filter(F.col("_v").isNotNull())
-    largest = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    base = df.select(*by, not_nan_or_null(value).alias("_v"))
+    largest = base.groupBy(*by).agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= limit:
         return base.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in quantiles])).alias(name))
-    return _narrowed(base, by, quantiles, name, limit)
+    found = _narrowed(base.filter(F.col("_v").isNotNull()), by, quantiles, name, limit)
+    if not by:
+        return found
+    # Groups without any value keep their row.
+    renamed = found.select(*[F.col(c).alias(f"_by_{c}") for c in by], name)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return base.select(*by).distinct().join(renamed, same, "left").select(*by, name)
 
 
 def _narrowed(base, by, quantiles, name, limit):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit.functions.scalars import is_finite
-from assaykit.functions.vectors import feature_array
+from assaykit.functions.vectors import feature_array, impute
 from assaykit.operators.quantiles import exact_median
 
 UNLABELLED = -1
@@ -72,20 +72,24 @@ def per_feature_array(stats, value, name):
 
 def column_medians(rows):
     """``(pos, median)`` of the non-NaN values; a feature without any has a null median."""
-    return _for_all_features(rows, exact_median(long_features(rows), "value", ["pos"]))
+    return exact_median(long_features(rows), "value", ["pos"])
 
 
 def finite_medians(rows):
     """``(pos, median)`` of the finite values, 0 for a feature without any."""
     cells = long_features(rows).withColumn("value", F.when(is_finite("value"), F.col("value")))
-    return _for_all_features(rows, exact_median(cells, "value", ["pos"])).withColumn(
-        "median", F.coalesce("median", F.lit(0.0))
-    )
+    return exact_median(cells, "value", ["pos"]).withColumn("median", F.coalesce("median", F.lit(0.0)))
+
 
+def imputed(rows):
+    """``rows`` with non-finite cells replaced by their column's finite median.
 
-def _for_all_features(rows, stats):
-    positions = long_features(rows).groupBy("pos").agg(F.count(F.lit(1)).alias("_n")).select("pos")
-    return positions.join(stats, "pos", "left")
+    The medians are only computed when there is such a cell.
+    """
+    if rows.filter(F.exists("features", lambda x: ~is_finite(x))).isEmpty():
+        return rows
+    filled = rows.withColumn("_fill", per_feature_array(finite_medians(rows), "median", "fill"))
+    return filled.withColumn("features", impute(F.col("features"), F.col("_fill"))).drop("_fill")
 
 
 def feature_moments(rows):

@@ -22,6 +22,7 @@ from assaykit.operators.near_duplicates import (
 )
 from assaykit.operators.neighbours import knn_scores, standardize
 from assaykit.operators.outliers import sn_scale, statistical_outlier_scores
+from assaykit.operators.skew import lookup_join
 from assaykit.plans.evaluation import cross_evaluation
 from assaykit.plans.scan import scan_and_clean, scan_scores
 from assaykit.plans.tables import (
@@ -46,6 +47,11 @@ RATE = 0.05
 TRIGGERED_ROWS = 1000
 
 
+def _documents(spark, folder):
+    """The token vectors, written once: the detectors pass over their input several times."""
+    return checkpointed(labelled_documents(spark, folder))
+
+
 def rounded(df, *names, digits=6):
     """Doubles rounded for comparison between engines; adding zero removes a negative zero."""
     return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
@@ -152,7 +158,7 @@ def q_exact_duplicate_groups(spark, folder):
 
 
 def q_exact_duplicate_wide(spark, folder):
-    documents = labelled_documents(spark, folder)
+    documents = _documents(spark, folder)
     return rounded(exact_duplicate_scores(documents, "doc_id", "quality", "features"), "score")
 
 
@@ -162,16 +168,16 @@ def q_statistical_outlier(spark, folder):
 
 
 def q_near_duplicate_exact(spark, folder):
-    return rounded(near_duplicate_scores(labelled_documents(spark, folder), "doc_id", "quality", "features"), "score")
+    return rounded(near_duplicate_scores(_documents(spark, folder), "doc_id", "quality", "features"), "score")
 
 
 def q_near_duplicate_lsh(spark, folder):
-    documents = labelled_documents(spark, folder)
+    documents = _documents(spark, folder)
     return rounded(near_duplicate_scores(documents, "doc_id", "quality", "features", mode="lsh"), "score")
 
 
 def q_near_duplicate_clusters(spark, folder):
-    clusters = near_duplicate_clusters(labelled_documents(spark, folder), "doc_id", "quality", "features")
+    clusters = near_duplicate_clusters(_documents(spark, folder), "doc_id", "quality", "features")
     return rounded(clusters.withColumn("pairs", F.col("pairs").cast("bigint")), "avg_similarity")
 
 
@@ -181,10 +187,12 @@ def q_lsh_bands(spark, folder):
 
 
 def q_connected_components(spark, folder):
-    prepared = prepared_vectors(labelled_documents(spark, folder), "doc_id", "quality", "features")
+    prepared = prepared_vectors(_documents(spark, folder), "doc_id", "quality", "features")
     vectors = checkpointed(distinct_vectors(prepared))
-    stars = matches_within(vectors, vectors.count())
-    return connected_components(stars.filter(F.col("row_id") != F.col("root")), "row_id", "root")
+    similar = matches_within(vectors, vectors.count()).select("row_id", "root")
+    named = vectors.select("content", F.col("row_id").alias("root"), "copies")
+    equal = lookup_join(prepared.select("row_id", "content"), named, "content", "copies").select("row_id", "root")
+    return connected_components(similar.unionByName(equal).filter(F.col("row_id") != F.col("root")), "row_id", "root")
 
 
 def q_knn_scores(spark, folder):
@@ -256,7 +264,7 @@ def q_scan_clean_core(spark, folder):
 
 
 def q_scan_clean_full(spark, folder):
-    scores = scan_scores(labelled_documents(spark, folder), "doc_id", "quality", "features")
+    scores = scan_scores(_documents(spark, folder), "doc_id", "quality", "features")
     return rounded(scores, "score", "statistical", "isolation_forest", "duplicate", "near_duplicate", "knn")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.hashing import stable_uniform
 from assaykit.operators.ranking import row_index
+from assaykit.session import spread_small
 
 TOKEN_BUCKETS = 64
 
@@ -38,7 +39,7 @@ def token_vectors(documents, key="doc_id", text="text", buckets=TOKEN_BUCKETS):
 
 def labelled_documents(spark, folder):
     """Documents as token vectors; ``quality`` is -1 where no label exists."""
-    vectors = token_vectors(table(spark, folder, "documents"))
+    vectors = token_vectors(spread_small(table(spark, folder, "documents")))
     labels = table(spark, folder, "labels").select("doc_id", "quality", "toxic")
     return vectors.join(labels, "doc_id", "left").select(
         "doc_id", "features", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic")

@@ -46,3 +46,9 @@ def checkpointed(df):
     """``df`` written once to the shared checkpoint folder, lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread_small(df):
+    """A scan of few files over all cores; a no-op for a table that has more splits than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
