@@ -48,6 +48,17 @@ class Pivots:
         drawn = hash_take(vectors.select("row_id", "vector"), "row_id", wanted, seed).select("vector").collect()
         return cls(np.unique(np.array([r["vector"] for r in drawn], dtype=np.float64).reshape(len(drawn), width), axis=0))
 
+    def thinned(self, separation):
+        """A subset that is at least ``separation`` apart and within that of every dropped pivot.
+
+        Many near copies of one vector draw many pivots; one cell should hold them all.
+        """
+        kept = []
+        for i in range(len(self.points)):
+            if not kept or self.apart[i, kept].min() > separation:
+                kept.append(i)
+        return Pivots(self.points[kept])
+
     @property
     def width(self):
         return self.points.shape[1]
@@ -83,24 +94,32 @@ def with_home(vectors, pivots):
 def with_cells_within(vectors, pivots, radius):
     """One row per cell a vector has to visit to meet all partners within ``radius``.
 
-    Its home comes with ``at_home`` true.  Other cells are visited only when their
-    number is lower than the home's, which counts each pair in exactly one cell.
+    Its home comes with ``at_home`` true, and ``core`` true when it is so close to the
+    pivot that any two core members are within ``radius`` of each other.  Other cells
+    are visited only when their number is lower than the home's, which counts each
+    pair in exactly one cell.
     """
 
-    @F.pandas_udf("array<int>")
-    def cells(vector: pd.Series) -> pd.Series:
+    @F.pandas_udf("cells array<int>, core boolean")
+    def placed(vector: pd.Series) -> pd.DataFrame:
         squared = pivots.squared(stacked(vector, pivots.width))
         home = squared.argmin(axis=1)
         reach = pivots.beyond_bisector(squared, home) <= radius + SLACK
         reach &= np.arange(squared.shape[1])[None, :] < home[:, None]
-        return pd.Series([np.concatenate(([h], np.flatnonzero(r))).astype("int32") for h, r in zip(home, reach)])
+        cells = [np.concatenate(([h], np.flatnonzero(r))).astype("int32") for h, r in zip(home, reach)]
+        core = np.sqrt(squared[np.arange(len(home)), home]) <= radius / 2 - SLACK
+        return pd.DataFrame({"cells": pd.Series(cells, dtype=object), "core": core})
 
-    return vectors.select(*vectors.columns, F.posexplode(cells("vector")).alias("_at", "cell")).withColumn(
-        "at_home", F.col("_at") == 0
-    ).drop("_at")
+    return (
+        vectors.withColumn("_p", placed("vector"))
+        .select(*vectors.columns, F.posexplode("_p.cells").alias("_at", "cell"), F.col("_p.core").alias("_core"))
+        .withColumn("at_home", F.col("_at") == 0)
+        .withColumn("core", F.col("at_home") & F.col("_core"))
+        .drop("_at", "_core")
+    )
 
 
-def cell_join(left, right, compare, schema, block_rows=BLOCK_ROWS):
+def cell_join(left, right, compare, schema):
     """``compare(left_block, right_block)`` for every pair of blocks that share a cell.
 
     Both sides need ``cell`` and ``row_id``.  A cell with many rows is spread over
@@ -109,7 +128,7 @@ def cell_join(left, right, compare, schema, block_rows=BLOCK_ROWS):
     """
 
     def blocks(side, name):
-        return side.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+        return side.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias(name))
 
     # One row per cell: at most MAX_PIVOTS pivots, or bands times band values.
     grid = F.broadcast(blocks(left, "_left_blocks").join(blocks(right, "_right_blocks"), "cell"))
