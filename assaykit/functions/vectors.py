@@ -8,7 +8,7 @@ from assaykit.functions.scalars import is_finite
 # Feature values that carry no duplicate evidence and are read as zero (fixed values).
 INDICATOR_VALUES = (1.0, -1.0)
 
-# Up to this many features a vector is its own grouping key; wider ones use a digest.
+# Up to this many features the text of a vector is its grouping key; wider ones use a digest.
 WIDE_VECTOR = 16
 
 
@@ -37,7 +37,7 @@ def has_nan(vector):
 
 
 def zero_non_finite(vector):
-    return F.transform(vector, lambda x: F.when(is_finite(x), x).otherwise(F.lit(0.0)))
+    return F.transform(vector, lambda x: F.when(is_finite(x), x + F.lit(0.0)).otherwise(F.lit(0.0)))
 
 
 def impute(vector, fill):
@@ -59,13 +59,14 @@ def unit(vector, length):
 
 
 def content_key(vector, wide):
-    """Value that is equal exactly for equal vectors and cheap to shuffle.
+    """Text that is equal exactly for equal vectors, and cheap to hash and shuffle.
 
-    Narrow vectors are their own key.  Wide ones are represented by the SHA-256 of
-    their shortest decimal text, which is one-to-one for doubles, so that a
+    The entries' shortest decimal form is one-to-one for doubles without NaN and
+    negative zero.  Of a wide vector only the SHA-256 of the text is kept, so that a
     grouping moves 64 bytes a row instead of the whole vector.
     """
-    return F.sha2(F.array_join(F.transform(vector, lambda x: x.cast("string")), ","), 256) if wide else vector
+    text = F.array_join(F.transform(vector, lambda x: x.cast("string")), ",")
+    return F.sha2(text, 256) if wide else text
 
 
 def row_quantile(vector, q):

@@ -25,6 +25,23 @@ def keyed_rows(rows, wide):
     )
 
 
+def label_range():
+    """Aggregates that tell whether labels differ.
+
+    Extremes of a hash instead of the label itself: a number can be kept in a hash
+    aggregation, a text would force a sort of all rows before the shuffle.
+    """
+    code = F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    return [F.min(code).alias("low_label"), F.max(code).alias("high_label"), F.count("label").alias("labelled")]
+
+
+def mixed_labels(members):
+    """True when the labels summarised by ``label_range`` differ; a missing one differs from all others."""
+    return F.coalesce(F.col("low_label") != F.col("high_label"), F.lit(False)) | F.col("labelled").between(
+        1, F.col(members) - 1
+    )
+
+
 def exact_duplicate_groups(df, key, label, features):
     """``(content, members, mixed)`` for every vector that occurs at least twice.
 
@@ -45,18 +62,10 @@ def _groups(keyed):
         .groupBy("content")
         .agg(
             F.count(F.lit(1)).alias("members"),
-            F.min("label").alias("_first"),
-            F.max("label").alias("_last"),
-            F.count("label").alias("_labelled"),
+            *label_range(),
         )
         .filter(F.col("members") > 1)
-        # A missing label differs from every other one, as NaN labels would.
-        .withColumn(
-            "mixed",
-            F.coalesce(F.col("_first") != F.col("_last"), F.lit(False))
-            | F.col("_labelled").between(1, F.col("members") - 1),
-        )
-        .select("content", "members", "mixed")
+        .select("content", "members", mixed_labels("members").alias("mixed"))
     )
 
 

@@ -93,7 +93,7 @@ class IsolationForest:
             cells, start = matrix.ravel(), np.arange(len(matrix)) * width
             total = np.zeros(len(matrix))
             for root in forest.roots:
-                at = np.full(len(matrix), root)
+                at = np.full(len(matrix), root, dtype="int32")
                 for _ in range(forest.depth):
                     above = cells[start + forest.feature[at]] > forest.threshold[at]
                     at = forest.child[at] + above
@@ -158,7 +158,8 @@ def fit_forest(filled, trees=TREES, sample=SAMPLE, seed=42):
     child = nodes["child"].to_numpy() + np.repeat(starts, sizes.to_numpy())
     depth = int(np.ceil(np.log2(max(drawn, 2))))
     return IsolationForest(
-        starts, nodes["feature"].to_numpy(), nodes["threshold"].to_numpy(), child, nodes["path"].to_numpy(), width, drawn, depth
+        starts.astype("int32"), nodes["feature"].to_numpy(dtype="int32"), nodes["threshold"].to_numpy(),
+        child.astype("int32"), nodes["path"].to_numpy(), width, drawn, depth,
     )
 
 

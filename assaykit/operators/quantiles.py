@@ -13,15 +13,17 @@ _GRID = 256
 def exact_quantiles(df, value, quantiles, by=(), name="quantiles", limit=EXACT_LIMIT):
     """``array<double>`` of linearly interpolated quantiles of ``value`` per ``by`` group.
 
-    Null and NaN are skipped.  Groups of at most ``limit`` values are answered by one
-    aggregate.  For larger ones each wanted order statistic is enclosed between two
+    Null and NaN are skipped.  Groups of at most ``limit`` values (fewer, when there are
+    many groups) are answered by one aggregate.  For larger ones each wanted order statistic is enclosed between two
     approximate quantiles, the enclosure is counted exactly and narrowed until it
     holds at most ``limit`` distinct values, and only those are sorted.
     """
     by = list(by)
     base = df.select(*by, not_nan_or_null(value).alias("_v"))
-    largest = base.groupBy(*by).agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= limit:
+    sizes = base.groupBy(*by).agg(F.count("_v").alias("n")).agg(F.max("n").alias("largest"), F.count("n").alias("groups"))
+    largest, groups = sizes.first()
+    # The aggregate keeps up to 128 groups in memory before it falls back to sorting.
+    if (largest or 0) * min(max(groups, 8), 128) <= 8 * limit:
         return base.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in quantiles])).alias(name))
     found = _narrowed(base.filter(F.col("_v").isNotNull()), by, quantiles, name, limit)
     if not by:

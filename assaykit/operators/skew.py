@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
-# A key is hot when it holds at least this share of all rows, so there are at
-# most 1/HOT_SHARE hot keys and broadcasting them is bounded whatever the data.
-HOT_SHARE = 0.001
+from assaykit.session import checkpointed
+
+# At most this many keys are joined by broadcast; every other key is then smaller
+# than each of them, so it holds less than 1/HOT_KEYS of the rows.
+HOT_KEYS = 1000
+# Keys with fewer rows are never worth it.
 HOT_FLOOR = 100_000
 
 
@@ -12,19 +15,18 @@ def lookup_join(rows, lookup, keys, size):
     """Left join of ``rows`` with ``lookup``, which has each ``keys`` value once.
 
     ``size`` names the lookup column that says how many of ``rows`` carry the key.
-    Keys at or above the hot limit are joined by broadcasting their (at most
-    ``1/HOT_SHARE``) lookup rows, so that their rows are never shuffled together;
-    all other keys are small enough for an ordinary shuffled join.
+    The largest keys are joined by broadcasting their lookup rows, ``HOT_KEYS`` at
+    most, so that their rows are never shuffled together; the rest is an ordinary
+    join.  The lookup is written once and serves all of it.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    extra = [c for c in lookup.columns if c not in keys]
-    total = rows.agg(F.count(F.lit(1)).alias("rows")).scalar()
-    limit = F.greatest(F.lit(HOT_FLOOR).cast("double"), total * F.lit(HOT_SHARE))
-    hot = lookup.filter(F.col(size) >= limit).withColumn("_hot", F.lit(True))
-    cold = lookup.filter(F.col(size) < limit)
-    marked = rows.join(F.broadcast(hot), keys, "left")
-    columns = rows.columns + extra
-    on_hot = marked.filter(F.col("_hot").isNotNull()).select(*columns)
-    others = marked.filter(F.col("_hot").isNull()).select(*rows.columns)
-    on_cold = others.join(cold, keys, "left").select(*columns)
+    columns = rows.columns + [c for c in lookup.columns if c not in keys]
+    lookup = checkpointed(lookup)
+    largest = lookup.filter(F.col(size) >= HOT_FLOOR).orderBy(F.col(size).desc()).limit(HOT_KEYS).collect()
+    if not largest:
+        return rows.join(lookup, keys, "left").select(*columns)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(largest, lookup.schema))
+    cold = lookup.join(hot, keys, "left_anti")
+    on_hot = rows.join(hot, keys).select(*columns)
+    on_cold = rows.join(hot, keys, "left_anti").join(cold, keys, "left").select(*columns)
     return on_hot.unionByName(on_cold)

@@ -154,7 +154,7 @@ def q_exact_duplicate_scores(spark, folder):
 
 def q_exact_duplicate_groups(spark, folder):
     groups = exact_duplicate_groups(table(spark, folder, "events"), "event_id", "event_type", ["value"])
-    return groups.select(F.get("content", F.lit(0)).alias("value"), "members", "mixed")
+    return groups.select(F.col("content").cast("double").alias("value"), "members", "mixed")
 
 
 def q_exact_duplicate_wide(spark, folder):
