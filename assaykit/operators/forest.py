@@ -18,7 +18,9 @@ EULER_GAMMA = 0.5772156649015329
 # Drawn on top of the wanted sample, so that a hash draw is practically never short.
 _OVERDRAW = 1.1
 
-_NODES = "tree int, node int, feature int, threshold double, child int, path double"
+# One row per tree; the node arrays travel as bytes of these types.
+_NODES = "tree int, feature binary, threshold binary, child binary, path binary"
+_NODE_TYPES = {"feature": "int32", "threshold": "float64", "child": "int32", "path": "float64"}
 
 
 def average_path(n):
@@ -146,20 +148,17 @@ def fit_forest(filled, trees=TREES, sample=SAMPLE, seed=42):
         tree = int(key[0])
         ordered = group.sort_values("row_id")
         nodes = grown_tree(stacked(ordered["features"], width), np.random.default_rng([seed, tree]))
-        out = pd.DataFrame(dict(zip(["feature", "threshold", "child", "path"], nodes)))
-        out.insert(0, "node", range(len(out)))
-        out.insert(0, "tree", tree)
-        return out
-
-    grown = tree_samples(filled, total, trees, sample, seed).groupBy("tree").applyInPandas(grow, _NODES)
-    nodes = grown.toPandas().sort_values(["tree", "node"])
-    sizes = nodes.groupby("tree").size()
-    starts = np.concatenate(([0], np.cumsum(sizes.to_numpy())[:-1]))
-    child = nodes["child"].to_numpy() + np.repeat(starts, sizes.to_numpy())
+        packed = {c: [part.astype(kind).tobytes()] for (c, kind), part in zip(_NODE_TYPES.items(), nodes)}
+        return pd.DataFrame({"tree": [tree], **packed})
+
+    grown = tree_samples(filled, total, trees, sample, seed).groupBy("tree").applyInPandas(grow, _NODES).collect()
+    grown.sort(key=lambda t: t["tree"])
+    parts = {c: [np.frombuffer(t[c], dtype=kind) for t in grown] for c, kind in _NODE_TYPES.items()}
+    starts = np.cumsum([0] + [len(p) for p in parts["path"]])[:-1].astype("int32")
+    parts["child"] = [child + start for child, start in zip(parts["child"], starts)]
     depth = int(np.ceil(np.log2(max(drawn, 2))))
     return IsolationForest(
-        starts.astype("int32"), nodes["feature"].to_numpy(dtype="int32"), nodes["threshold"].to_numpy(),
-        child.astype("int32"), nodes["path"].to_numpy(), width, drawn, depth,
+        starts, *[np.concatenate(parts[c]) for c in ("feature", "threshold", "child", "path")], width, drawn, depth
     )
 
 

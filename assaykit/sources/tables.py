@@ -33,13 +33,19 @@ def read_parquet(spark, path, columns=None):
     return df.select(*columns) if columns else df
 
 
-def write_parquet(df, path, mode="overwrite", rows_per_file=None, block_bytes=128 << 20, partition_by=None):
-    """Zstandard-compressed Parquet with bounded row groups and, optionally, bounded files."""
+def write_parquet(df, path, mode="overwrite", rows_per_file=None, block_bytes=128 << 20, partition_by=None,
+                  replace_partitions=False):
+    """Zstandard-compressed Parquet with bounded row groups and, optionally, bounded files.
+
+    ``replace_partitions`` overwrites only the partitions that ``df`` has rows for.
+    """
     writer = df.write.mode(mode).option("compression", "zstd").option("parquet.block.size", block_bytes)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if replace_partitions:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
 
 
