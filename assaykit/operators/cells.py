@@ -17,6 +17,9 @@ BLOCK_ROWS = 2048
 MAX_PIVOTS = 8192
 MAX_PIVOT_BYTES = 64 << 20
 
+# Entries of the distance matrix a task holds while it places a batch of vectors.
+CHUNK_CELLS = 1 << 22
+
 # Added to every pruning bound, so that rounding never prunes a partner.
 SLACK = 1e-9
 _CLOSE_PIVOTS = 1e-6
@@ -32,12 +35,17 @@ def squared_distances(left, right):
     return np.maximum((left**2).sum(axis=1)[:, None] + (right**2).sum(axis=1)[None, :] - 2.0 * gram, 0.0)
 
 
+def chunks(rows, columns):
+    """Slices of ``rows`` that keep a rows x columns matrix within ``CHUNK_CELLS`` entries."""
+    step = max(1, CHUNK_CELLS // max(1, columns))
+    return [slice(i, i + step) for i in range(0, rows, step)]
+
+
 class Pivots:
     """Distinct vectors drawn in hash order, at most ``MAX_PIVOT_BYTES`` of them."""
 
     def __init__(self, points):
         self.points = points
-        self.apart = np.sqrt(squared_distances(points, points))
 
     @classmethod
     def drawn(cls, vectors, rows, seed):
@@ -53,11 +61,11 @@ class Pivots:
 
         Many near copies of one vector draw many pivots; one cell should hold them all.
         """
-        kept = []
-        for i in range(len(self.points)):
-            if not kept or self.apart[i, kept].min() > separation:
-                kept.append(i)
-        return Pivots(self.points[kept])
+        kept = self.points[:1]
+        for point in self.points[1:]:
+            if squared_distances(point[None, :], kept).min() > separation**2:
+                kept = np.vstack([kept, point])
+        return Pivots(kept)
 
     @property
     def width(self):
@@ -72,7 +80,8 @@ class Pivots:
         The signed distance to the bisector of two pivots; pivots too close together
         for a stable quotient never prune.
         """
-        apart = self.apart[home]
+        near, place = np.unique(home, return_inverse=True)
+        apart = np.sqrt(squared_distances(self.points[near], self.points))[place]
         gap = squared - squared[np.arange(len(home)), home][:, None]
         return np.where(apart > _CLOSE_PIVOTS, gap / (2.0 * np.maximum(apart, _CLOSE_PIVOTS)), -np.inf)
 
@@ -82,11 +91,12 @@ def with_home(vectors, pivots):
 
     @F.pandas_udf("home int, home_distance double")
     def nearest(vector: pd.Series) -> pd.DataFrame:
-        squared = pivots.squared(stacked(vector, pivots.width))
-        home = squared.argmin(axis=1)
-        return pd.DataFrame(
-            {"home": home.astype("int32"), "home_distance": np.sqrt(squared[np.arange(len(home)), home])}
-        )
+        matrix, homes, distances = stacked(vector, pivots.width), [], []
+        for part in chunks(len(matrix), len(pivots.points)):
+            squared = pivots.squared(matrix[part])
+            homes.extend(squared.argmin(axis=1))
+            distances.extend(np.sqrt(squared.min(axis=1)))
+        return pd.DataFrame({"home": np.array(homes, dtype="int32"), "home_distance": np.array(distances, dtype=float)})
 
     return vectors.withColumn("_h", nearest("vector")).select(*vectors.columns, "_h.home", "_h.home_distance")
 
@@ -102,13 +112,15 @@ def with_cells_within(vectors, pivots, radius):
 
     @F.pandas_udf("cells array<int>, core boolean")
     def placed(vector: pd.Series) -> pd.DataFrame:
-        squared = pivots.squared(stacked(vector, pivots.width))
-        home = squared.argmin(axis=1)
-        reach = pivots.beyond_bisector(squared, home) <= radius + SLACK
-        reach &= np.arange(squared.shape[1])[None, :] < home[:, None]
-        cells = [np.concatenate(([h], np.flatnonzero(r))).astype("int32") for h, r in zip(home, reach)]
-        core = np.sqrt(squared[np.arange(len(home)), home]) <= radius / 2 - SLACK
-        return pd.DataFrame({"cells": pd.Series(cells, dtype=object), "core": core})
+        matrix, cells, core = stacked(vector, pivots.width), [], []
+        for part in chunks(len(matrix), len(pivots.points)):
+            squared = pivots.squared(matrix[part])
+            home = squared.argmin(axis=1)
+            reach = pivots.beyond_bisector(squared, home) <= radius + SLACK
+            reach &= np.arange(squared.shape[1])[None, :] < home[:, None]
+            cells.extend(np.concatenate(([h], np.flatnonzero(r))).astype("int32") for h, r in zip(home, reach))
+            core.extend(np.sqrt(squared.min(axis=1)) <= radius / 2 - SLACK)
+        return pd.DataFrame({"cells": pd.Series(cells, dtype=object), "core": np.array(core, dtype=bool)})
 
     return (
         vectors.withColumn("_p", placed("vector"))

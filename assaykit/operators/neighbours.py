@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaykit.functions.vectors import WIDE_VECTOR, content_key, norm, row_quantile, unit, zero_non_finite
-from assaykit.operators.cells import SLACK, Pivots, cell_join, squared_distances, stacked, with_home
+from assaykit.operators.cells import SLACK, Pivots, cell_join, chunks, squared_distances, stacked, with_home
 from assaykit.operators.rows import canonical, feature_moments
 from assaykit.operators.skew import lookup_join
 from assaykit.session import checkpointed
@@ -134,15 +134,17 @@ def nearest_distinct(vectors, rows, k, seed=42):
 
     @F.pandas_udf("array<int>")
     def visits(vector: pd.Series, home: pd.Series, bound: pd.Series) -> pd.Series:
-        squared = pivots.squared(stacked(vector, pivots.width))
-        distance = np.sqrt(squared)
-        own = home.to_numpy()
-        # k + 1 members of any one cell lie within this distance.
-        limit = np.minimum(bound.fillna(np.inf).to_numpy(), (distance + reach).min(axis=1))[:, None] * (1 + SLACK) + SLACK
-        with np.errstate(invalid="ignore"):
-            go = (pivots.beyond_bisector(squared, own) <= limit) & (distance - far <= limit) & (near - distance <= limit)
-        go[np.arange(len(own)), own] = False
-        return pd.Series([np.flatnonzero(g).astype("int32") for g in go])
+        matrix, homes, known, found = stacked(vector, pivots.width), home.to_numpy(), bound.fillna(np.inf).to_numpy(), []
+        for part in chunks(len(matrix), len(pivots.points)):
+            squared, own = pivots.squared(matrix[part]), homes[part]
+            distance = np.sqrt(squared)
+            # k + 1 members of any one cell lie within this distance.
+            limit = np.minimum(known[part], (distance + reach).min(axis=1))[:, None] * (1 + SLACK) + SLACK
+            go = pivots.beyond_bisector(squared, own) <= limit
+            go &= (distance - far <= limit) & (near - distance <= limit)
+            go[np.arange(len(own)), own] = False
+            found.extend(np.flatnonzero(g).astype("int32") for g in go)
+        return pd.Series(found, dtype=object)
 
     travelling = (
         asking.join(bounds, "row_id", "left")

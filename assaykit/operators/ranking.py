@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 from assaykit.functions.hashing import stable_uniform
 from assaykit.session import checkpointed
 
+# Slices of the hash range; a slice of 100 billion rows holds some six million.
+SLICES = 16384
+
 _SHIFT = 33  # monotonically_increasing_id keeps the partition above this bit
 _LOCAL_MASK = (1 << _SHIFT) - 1
 
 
-def _slice_count(spark):
-    return 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def hash_bins(df, key, cuts, seed=42, by=(), name="bin"):
     """Number of ``cuts`` below the row's rank in hash order within its ``by`` group.
 
@@ -29,9 +28,8 @@ def hash_bins(df, key, cuts, seed=42, by=(), name="bin"):
     outside the slices that hold a cut are placed without being sorted or moved.
     """
     by = list(by)
-    slices = _slice_count(df.sparkSession)
     hashed = df.withColumn("_u", stable_uniform(key, seed)).withColumn(
-        "_slice", F.floor(F.col("_u") * slices).cast("int")
+        "_slice", F.floor(F.col("_u") * SLICES).cast("int")
     )
     group = Window.partitionBy(*by, F.lit(0))
     so_far = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
