@@ -93,7 +93,7 @@ def imputed(rows):
 
 
 def feature_moments(rows):
-    """``(pos, mean, variance, deviation, distinct flag)`` with population variance."""
+    """``(pos, mean, variance, deviation)`` with population variance and deviation."""
     return long_features(rows).groupBy("pos").agg(
         F.avg("value").alias("mean"),
         F.var_pop("value").alias("variance"),
