@@ -42,12 +42,12 @@ CANDIDATES = (
     r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     r"[0-9](?:[ -]?[0-9]){11,}+",
     r"\+[0-9][\x20().0-9-]+[0-9]",
-    r"(?<![A-Za-z0-9_-])(?:(?:%s)[A-Za-z0-9_-]{12,}+|(?=[A-Za-z_-]{0,200}[0-9])[A-Za-z0-9_-]{24,}+)" % SECRET_PREFIXES,
-    r"(?<!\p{L})(?:(?:%s)\.?|%s) \p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?" % (TITLES, FIRST_NAMES),
+    r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,200}[0-9])(?:(?:%s)[A-Za-z0-9_-]{12,}+|[A-Za-z0-9_-]{24,}+)" % SECRET_PREFIXES,
+    r"(?=[A-Z])(?<!\p{L})(?:(?:%s)\.?|%s) \p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?" % (TITLES, FIRST_NAMES),
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 )
-# A text without the mark cannot hold the kind.
-MARKS = ("@", r"\d\.\d", r"\d", r"\+\d", r"[A-Za-z0-9_-]{16}", r"\p{Lu}", r"\d-\d\d-\d")
+# A text that lacks these cannot hold the kind; looking for single characters is cheap.
+NEEDS = ("@", "digit", "digit", "digit", "digit", " ", "digit")
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 GAZETTEER = (
     r"\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$",
@@ -79,7 +79,7 @@ def _shape(kind, value):
         value.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"),
         n.between(12, 19) & F.call_function("luhn_check", digits),
         n.between(9, 15),
-        value.rlike("[0-9]") & value.rlike("[A-Z]"),
+        value.rlike("[0-9]") & value.rlike("[A-Za-z]"),
         F.length(value) >= 6,
         value.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"),
     )[kind]
@@ -109,9 +109,13 @@ def with_candidates(documents, text="text", to="_pii_candidates"):
     """``documents`` with an array of candidate spans and the votes on them."""
     df = documents.withColumn("_pii_text", F.coalesce(F.col(text), F.lit("")))
     body = F.col("_pii_text")
+    digit = body.contains("0")
+    for d in "123456789":
+        digit = digit | body.contains(d)
+    df = df.withColumn("_pii_digit", digit)
     empty = F.array().cast("array<string>")
-    for k, (pattern, mark) in enumerate(zip(CANDIDATES, MARKS)):
-        there = body.contains(mark) if mark == "@" else body.rlike(mark)
+    for k, (pattern, need) in enumerate(zip(CANDIDATES, NEEDS)):
+        there = F.col("_pii_digit") if need == "digit" else body.contains(need)
         df = df.withColumn(
             f"_pii_found{k}", F.when(there, F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).otherwise(empty)
         )
@@ -148,7 +152,7 @@ def with_candidates(documents, text="text", to="_pii_candidates"):
         return F.transform(f"_pii_at{k}", made)
 
     df = df.withColumn(to, F.concat(*(candidate(k) for k in range(len(KINDS)))))
-    return df.drop("_pii_text", *(f"_pii_{x}{k}" for x in ("found", "at") for k in range(len(KINDS))))
+    return df.drop("_pii_text", "_pii_digit", *(f"_pii_{x}{k}" for x in ("found", "at") for k in range(len(KINDS))))
 
 
 PATTERN = ["kind", *LABELERS, "long", "digits"]

@@ -23,10 +23,11 @@ def op1_pii(spark, folder):
     found = checkpointed(found)
     spans = pii.with_spans(found, pii.fit(found))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [
-        F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(pii.KINDS[: pii.BASE])
-    ]
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[: pii.BASE])]
     return spans.select(
         "doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text("spans").alias("spans")
     )
