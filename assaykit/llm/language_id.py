@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from assaykit.llm.common import held_out
 from assaykit.session import checkpointed
 
-WORDS = 80_000
-GRAMS = 40_000
+WORDS = 60_000
+GRAMS = 20_000
 ORDER = 4
 STEP_BACK = 1.0  # log penalty for each order given up
 SMOOTHING = 0.5

@@ -7,7 +7,8 @@ at a time, along the null space of two constraints (number of documents, number
 words) until each is 0 or 1 but for at most two per block.  Blocks are dealt by a hash,
 so a hot source has many of them.  What a block leaves open flies again with the rest of
 other blocks, level by level, until each source has one block, where the landing drops
-the word constraint first and the document constraint last.
+the word constraint first and the document constraint last.  What words the landing leaves
+over or short in a source is then made up by one or two documents of fitting size.
 
 Cases: null, empty and blank texts have size 0 and take no words.  Null is a source
 of its own, after all others.  Rows that are equal in id, source and size are
@@ -25,7 +26,7 @@ from assaykit.session import checkpointed
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3
-BLOCK = 10_000  # documents per block, about
+BLOCK = 2000  # documents per block, about
 SEED = 11
 
 
@@ -95,6 +96,26 @@ def _flight(rows, level, blocks, landing):
     return dealt.groupBy("sid", "block").applyInPandas(flown, rows.schema)
 
 
+def _made_up(rows):
+    """``rows`` with one document per source turned, where that brings the words nearer to the target."""
+    short = rows.groupBy("sid").agg(
+        (F.max("target") - F.sum((F.col("whole") + F.col("open")) * F.col("size"))).alias("short")
+    )
+    short = F.broadcast(checkpointed(short))  # a row per source
+    gap = F.abs(F.abs("short") - F.col("size"))
+    fits = (F.col("part") > 0) & (F.col("open") == (F.col("short") < 0).cast("double")) & (gap < F.abs("short"))
+    best = (
+        rows.join(short, "sid")
+        .filter(fits)
+        .groupBy("sid")
+        .agg(F.min(F.struct(gap.alias("gap"), "doc_id", "size", "number")).alias("best"))
+        .select("sid", F.col("best.number").alias("turned"))
+    )
+    turned = rows.join(F.broadcast(checkpointed(best)), "sid", "left")
+    flip = F.coalesce(F.col("turned") == F.col("number"), F.lit(False))
+    return turned.withColumn("open", F.when(flip, 1.0 - F.col("open")).otherwise(F.col("open")))
+
+
 def mix(documents, key="doc_id", text="text", source="source", weights=WEIGHTS, most=MOST_REPEATS, block=BLOCK):
     """``(doc_id, source, size, source_size, target, copies, taken)`` of every row."""
     rows = documents.select(
@@ -102,7 +123,8 @@ def mix(documents, key="doc_id", text="text", source="source", weights=WEIGHTS,
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    rows = checkpointed(rows)
+    # Numbers tell equal rows apart; which of them gets which number makes no difference.
+    rows = checkpointed(rows.withColumn("number", F.monotonically_increasing_id()))
     spark = rows.sparkSession
     totals = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()
     target = targets({t["source"]: t["words"] for t in totals}, weights, most)
@@ -113,7 +135,7 @@ def mix(documents, key="doc_id", text="text", source="source", weights=WEIGHTS,
     schema = "sid int, source string, source_size long, target double, whole int, part double"
     sources = F.broadcast(spark.createDataFrame(facts, schema))  # a row per source
     joined = rows.join(sources, rows["source"].eqNullSafe(sources["source"]))
-    joined = joined.select("sid", "doc_id", rows["source"], "size", "source_size", "target", "whole", F.col("part").alias("open"))
+    joined = joined.select("sid", "doc_id", "number", rows["source"], "size", "source_size", "target", "whole", "part", F.col("part").alias("open"))
     counts = {f[0]: t["n"] for f in facts for t in totals if t["source"] == f[1]}
     settled, level = [], 0
     while counts:
@@ -130,6 +152,8 @@ def mix(documents, key="doc_id", text="text", source="source", weights=WEIGHTS,
     out = settled[0] if settled else joined
     for more in settled[1:]:
         out = out.unionByName(more)
+    for _ in range(2):
+        out = _made_up(out)
     copies = F.col("whole") + F.col("open").cast("int")
     return out.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")

@@ -29,7 +29,7 @@ FEATURES = 4096
 LEAST_TEXTS = 4  # training texts a feature must be in
 FAIRNESS = 4.0
 RIDGE = 2.0
-STEPS = 300
+STEPS = 500
 SEED = 5
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)
@@ -103,6 +103,8 @@ def chosen_features(rows, most=FEATURES, least=LEAST_TEXTS):
 def logistic(rows, others, y, width, start, fairness=FAIRNESS, ridge=RIDGE, steps=STEPS):
     """Weights and intercept for sparse binary rows, by accelerated gradient steps.
 
+    Rows of label 1 weigh more, by the square root of how much rarer they are.
+
     ``rows`` is ``(row numbers, feature numbers)``; ``others`` is the signed change of the
     features under the swap, ``(row numbers, feature numbers, signs)``.
     """
@@ -110,18 +112,33 @@ def logistic(rows, others, y, width, start, fairness=FAIRNESS, ridge=RIDGE, step
     far, changed, sign = others
     n = len(y)
     swapped = len(np.unique(far))
-    degree = max(1, np.bincount(at, minlength=1).max() if len(at) else 1)
-    rate = 1.0 / (0.25 * (degree + 1) + fairness * max(1.0, np.bincount(far).max() if len(far) else 1) + ridge / n)
+    weight = np.where(y == 1, np.sqrt(max(1.0, (n - y.sum()) / max(1.0, y.sum()))), 1.0)
+
+    def moved(w):
+        return np.bincount(far, sign * w[changed], minlength=n) if swapped else np.zeros(n)
+
+    def curvature(w, b):
+        z = weight * (np.bincount(at, w[feature], minlength=n) + b) / (4 * n)
+        down = np.bincount(feature, z[at], minlength=width) + ridge / n * w
+        if swapped:
+            down += np.bincount(changed, sign * (2 * fairness / swapped * moved(w))[far], minlength=width)
+        return down, z.sum()
+
+    w, b, top = np.ones(width), 1.0, 1.0
+    for _ in range(50):  # the largest curvature bounds the step
+        w, b = curvature(w, b)
+        top = np.sqrt(w @ w + b * b)
+        w, b = w / top, b / top
+    rate = 1.0 / (1.05 * top)
     w, b = np.zeros(width), start
     ahead_w, ahead_b, speed = w.copy(), b, 1.0
     for _ in range(steps):
         z = np.bincount(at, ahead_w[feature], minlength=n) + ahead_b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / n
         slope = np.bincount(feature, error[at], minlength=width) + ridge / n * ahead_w
         if swapped:
-            shift = np.bincount(far, sign * ahead_w[changed], minlength=n)
-            slope += np.bincount(changed, sign * (2 * fairness / swapped * shift)[far], minlength=width)
-        new_w, new_b = ahead_w - rate * 8 * slope, ahead_b - rate * 8 * error.sum()
+            slope += np.bincount(changed, sign * (2 * fairness / swapped * moved(ahead_w))[far], minlength=width)
+        new_w, new_b = ahead_w - rate * slope, ahead_b - rate * error.sum()
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
         ahead_w, ahead_b = new_w + (speed - 1) / faster * (new_w - w), new_b + (speed - 1) / faster * (new_b - b)
         w, b, speed = new_w, new_b, faster
