@@ -20,10 +20,14 @@ def held_out(key="doc_id"):
     return F.crc32(text.cast("binary")) % 5 == 0
 
 
-def checked_broadcast(df, most=BROADCAST_ROWS):
-    """``df`` written once, with a broadcast hint only if it has at most ``most`` rows."""
+def checked_broadcast(df, most=BROADCAST_ROWS, entries=None):
+    """``df`` written once, with a broadcast hint only if it has at most ``most`` rows.
+
+    ``entries`` is the number of array entries a row holds; they count as rows.
+    """
     df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= most else df
+    size = df.agg(F.sum(F.lit(1) + (F.lit(0) if entries is None else entries))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def hot_lookup(rows, lookup, keys, size, how="left", most=1000, floor=1000):

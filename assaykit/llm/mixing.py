@@ -113,7 +113,7 @@ def _made_up(rows):
     )
     turned = rows.join(F.broadcast(checkpointed(best)), "sid", "left")
     flip = F.coalesce(F.col("turned") == F.col("number"), F.lit(False))
-    return turned.withColumn("open", F.when(flip, 1.0 - F.col("open")).otherwise(F.col("open")))
+    return turned.withColumn("open", F.when(flip, 1.0 - F.col("open")).otherwise(F.col("open"))).drop("turned")
 
 
 def mix(documents, key="doc_id", text="text", source="source", weights=WEIGHTS, most=MOST_REPEATS, block=BLOCK):

@@ -14,7 +14,7 @@ from assaykit.llm import (
     toxicity,
     winnowing,
 )
-from assaykit.llm.common import checked_broadcast, held_out, read
+from assaykit.llm.common import held_out, read
 from assaykit.session import checkpointed
 
 
@@ -52,18 +52,22 @@ def op4_toxicity(spark, folder):
 
 
 def op5_line_dedup(spark, folder):
-    documents = read(spark, folder, "documents").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    removed = checked_broadcast(line_dedup.deduplicated(documents))
-    joined = documents.join(removed, ["doc_id", "text_key"], "left")
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    removed = line_dedup.deduplicated(documents)
+    lengths = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars")
+    joined = documents.select("doc_id", F.xxhash64("text").alias("text_key"), lengths).join(
+        removed, ["doc_id", "text_key"], "left"
+    )
     spans = F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>"))
     one = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
+    gone = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return joined.select(
         "doc_id",
         F.size(spans).cast("long").alias("n_removed"),
-        F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("removed_chars"),
+        gone.alias("removed_chars"),
         F.array_join(F.transform(spans, one), ",").alias("removed_spans"),
         "first_doc_id",
-        F.length(line_dedup.without("text", spans)).cast("long").alias("kept_chars"),
+        (F.col("chars") - gone).alias("kept_chars"),
     )
 
 

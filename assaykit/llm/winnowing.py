@@ -84,7 +84,7 @@ def contamination(
         seen = rows.select("uid", words("text").alias("w")).withColumn("hashes", hashes)
         seen = seen.select("uid", F.explode(marks).alias("mark"))
         found = seen.join(checked_broadcast(known, most), "mark").groupBy("uid").agg(F.collect_set("mark").alias("marks"))
-        candidates = checked_broadcast(found, most // 10)
+        candidates = checked_broadcast(found, most, F.size("marks"))
         near = rows.join(candidates, "uid").select("uid", "marks", words("text").alias("w")).dropDuplicates(["uid"])
         hashes, _ = fingerprints(F.col("w"), m)
         width = gram_width(m)
@@ -103,7 +103,7 @@ def contamination(
         tried = tried.select(
             "uid", "first", F.array_join(F.slice("w", F.col("first"), m), " ").alias("window")
         )
-        hit = tried.join(checked_broadcast(bench.select("window", "items"), most), "window")
+        hit = tried.join(checked_broadcast(bench.select("window", "items"), most, F.size("items")), "window")
         parts.append(hit.select("uid", "first", (F.col("first") + F.lit(m - 1)).alias("last"), "items"))
     schema = "uid long, hits array<struct<first:int,last:int>>, items array<string>"
     if parts:
@@ -117,7 +117,7 @@ def contamination(
     else:
         hits = documents.sparkSession.createDataFrame([], schema)
     counted = rows.select("uid", "doc_id", F.size(words("text")).cast("long").alias("n_words"))
-    joined = counted.join(checked_broadcast(hits, most // 10), "uid", "left")
+    joined = counted.join(checked_broadcast(hits, most, F.size("hits") + F.size("items")), "uid", "left")
     # Runs overlap: each adds the words beyond the furthest one so far.
     covered = F.aggregate(
         F.coalesce("hits", F.array().cast("array<struct<first:int,last:int>>")),
