@@ -35,6 +35,17 @@ def unescaped(text):
     return F.regexp_replace(text, ESCAPED, "$1$2$3")
 
 
+def _role_shown(role):
+    """Roles have no line break and no bracket once rendered."""
+    shown = F.replace(role, F.lit("%"), F.lit("%25"))
+    return F.replace(F.replace(shown, F.lit("\n"), F.lit("%0A")), F.lit("<"), F.lit("%3C"))
+
+
+def _role_read(role):
+    read = F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%3C"), F.lit("<"))
+    return F.replace(read, F.lit("%25"), F.lit("%"))
+
+
 def fold(events, conversation="conv_id", seq="seq", message="message_id", op="op", role="role", text="text"):
     """``(conv_id, place, message_id, role, text)``: the final messages of an event log.
 
@@ -95,7 +106,7 @@ def render(messages, trained=TRAINED, piece=PIECE):
 
     ``mask`` is in code points of ``formatted``, escapes included.
     """
-    head = F.concat(F.lit(START), escaped(F.col("role")), F.lit(MIDDLE))
+    head = F.concat(F.lit(START), _role_shown(F.col("role")), F.lit(MIDDLE))
     body = escaped(F.col("text"))
     shown = F.concat(head, body, F.lit(END))
     marked = messages.select(
@@ -163,7 +174,7 @@ def parsed(formatted="formatted"):
         body = F.substr(t, F.lit(len(START) + 1))
         at = F.position(F.lit(MIDDLE), body)
         return F.struct(
-            unescaped(F.substr(body, F.lit(1), at - 1)).alias("role"), unescaped(F.substr(body, at + 1)).alias("text")
+            _role_read(F.substr(body, F.lit(1), at - 1)).alias("role"), unescaped(F.substr(body, at + 1)).alias("text")
         )
 
     return F.transform(texts, turn)

@@ -2,7 +2,8 @@
 
 A word that the model knows is scored by its smoothed log frequency in each language.  An
 unseen word is scored by character n-grams: at each place the longest known n-gram up to
-``ORDER`` counts, with a penalty per step of backing off, and the word gets their mean.
+``ORDER`` counts, and the word gets their mean.  (A penalty for backing off would be the
+same in every language and so change nothing.)
 Sums over the words of a text give a posterior over the languages.
 
 Word counts cover all training documents; n-gram counts come from the counted words.
@@ -29,9 +30,18 @@ from assaykit.session import checkpointed
 WORDS = 60_000
 GRAMS = 20_000
 ORDER = 4
-STEP_BACK = 1.0  # log penalty for each order given up
 SMOOTHING = 0.5
-TOKEN = re.compile(r"[^\W\d_]+")
+
+
+def _letters():
+    """The ranges of letters of the basic plane, all beyond it, as a character class: one bitmap look-up."""
+    codes = [c for c in range(0x10000) if chr(c).isalpha()]
+    breaks = [i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1]
+    ranges = zip([codes[0], *(codes[i] for i in breaks)], [*(codes[i - 1] for i in breaks), codes[-1]])
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges) + "\\U00010000-\\U0010ffff]+"
+
+
+TOKEN = re.compile(_letters())
 FLUSH = 200_000  # entries of a task's count table before it is passed on
 CACHE = 200_000  # backed-off words remembered per task
 UNKNOWN = "und"
@@ -111,15 +121,14 @@ def backed_off(word, model):
     """The score row of an unseen word: mean over places of the longest known n-gram."""
     index, table, order = model["index"], model["table"], model["order"]
     padded = f" {word} "
-    total, places = np.zeros(table.shape[1], np.float64), 0
+    rows = []
     for i in range(len(padded)):
         for k in range(min(order, len(padded) - i), 0, -1):
             row = index.get("\0" + padded[i : i + k])
             if row is not None:
-                total += table[row] - STEP_BACK * (order - k)
-                places += 1
+                rows.append(row)
                 break
-    return total / places if places else total
+    return table[rows].mean(axis=0, dtype=np.float64) if rows else np.zeros(table.shape[1])
 
 
 def posterior(text, model, cache):
