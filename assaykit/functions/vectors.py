@@ -75,7 +75,7 @@ def row_quantile(vector, q):
     The plain interpolation formula gives NaN between two infinities, which a later
     normalisation treats as an invalid score.
     """
-    ordered = F.array_sort(vector)
+    ordered = F.sort_array(vector)
     place = F.lit(float(q)) * (F.size(vector) - 1)
     below = F.floor(place).cast("int")
     above = F.least(below + 1, F.size(vector) - 1)
