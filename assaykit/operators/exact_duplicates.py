@@ -72,8 +72,10 @@ def _groups(keyed):
 def exact_duplicate_scores(df, key, label, features):
     """``(row_id, score)``: 0 for unique rows, ``1 - 1/members`` for repeats, more for mixed labels."""
     keyed = keyed_rows(canonical(df, key, label, features), _wide(features))
-    scored = lookup_join(keyed, _groups(keyed), "content", "members")
-    return scored.select(
+    # Rows without a key are never shuffled: they would all meet in one task.
+    scored = lookup_join(keyed.filter(F.col("content").isNotNull()), _groups(keyed), "content", "members")
+    found = scored.select(
         "row_id",
         F.coalesce(group_score(F.col("members"), F.col("mixed")), F.lit(0.0)).alias("score"),
     )
+    return found.unionByName(keyed.filter(F.col("content").isNull()).select("row_id", F.lit(0.0).alias("score")))
