@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from assaykit.operators.ranking import hash_take
+from assaykit.operators.skew import lookup_join
+from assaykit.session import checkpointed
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 8192
@@ -131,25 +133,41 @@ def with_cells_within(vectors, pivots, radius):
     )
 
 
-def cell_join(left, right, compare, schema):
+def cell_join(left, right, compare, schema, few_cells=True):
     """``compare(left_block, right_block)`` for every pair of blocks that share a cell.
 
     Both sides need ``cell`` and ``row_id``.  A cell with many rows is spread over
     many block pairs by a hash of the row, so neither a task's memory nor its work
     depends on how the rows are distributed over the cells.
+
+    ``few_cells`` promises that their number has a bound that does not grow with the
+    rows; then the block counts are broadcast.  Otherwise only the largest cells' are, and
+    cells with a single row on both sides, which have no pair in a join of a table with itself,
+    are left out before anything travels.
     """
 
     def blocks(side, name):
-        return side.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias(name))
-
-    # One row per cell: at most MAX_PIVOTS pivots, or bands times band values.
-    grid = F.broadcast(blocks(left, "_left_blocks").join(blocks(right, "_right_blocks"), "cell"))
+        n = F.count(F.lit(1))
+        return side.groupBy("cell").agg(n.alias(f"{name}_rows"), F.ceil(n / F.lit(BLOCK_ROWS)).cast("int").alias(name))
+
+    grid = blocks(left, "_left_blocks").join(blocks(right, "_right_blocks"), "cell")
+    rows = F.greatest("_left_blocks_rows", "_right_blocks_rows")
+    grid = grid.select("cell", "_left_blocks", "_right_blocks", rows.alias("_rows"))
+    if few_cells:
+        grid = F.broadcast(grid.drop("_rows"))
+    else:
+        grid = checkpointed(grid.filter("_rows > 1"))
+
+    def sized(side):
+        if few_cells:
+            return side.join(grid, "cell")
+        return lookup_join(side, grid, "cell", "_rows").filter(F.col("_rows").isNotNull()).drop("_rows")
 
     def spread(side, own, other, own_blocks, other_blocks):
         # Fresh names keep the two sides apart when they stem from one table.
         fresh = side.select(*[F.col(c).alias(c) for c in side.columns])
         return (
-            fresh.join(grid, "cell")
+            sized(fresh)
             .withColumn(own, F.pmod(F.xxhash64(F.lit(own), "row_id"), F.col(own_blocks)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)))
             .drop("_left_blocks", "_right_blocks")

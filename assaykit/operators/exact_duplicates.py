@@ -69,6 +69,16 @@ def _groups(keyed):
     )
 
 
+def duplicate_summary(df, key, label, features):
+    """One row: groups of equal vectors, the rows in them, and the groups whose labels differ."""
+    groups = exact_duplicate_groups(df, key, label, features)
+    return groups.agg(
+        F.count(F.lit(1)).alias("duplicate_groups"),
+        F.coalesce(F.sum("members"), F.lit(0)).alias("duplicate_rows"),
+        F.count_if("mixed").alias("mixed_groups"),
+    )
+
+
 def exact_duplicate_scores(df, key, label, features):
     """``(row_id, score)``: 0 for unique rows, ``1 - 1/members`` for repeats, more for mixed labels."""
     keyed = keyed_rows(canonical(df, key, label, features), _wide(features))

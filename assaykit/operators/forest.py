@@ -15,11 +15,12 @@ TREES = 100
 SAMPLE = 10_000
 EULER_GAMMA = 0.5772156649015329
 
-# Drawn on top of the wanted sample, so that a hash draw is practically never short.
-_OVERDRAW = 1.1
+# Standard deviations that a hash draw aims above the wanted sample; a tree that is short
+# all the same is drawn again with a larger share.
+_MARGIN = 5.0
 
 # One row per tree; the node arrays travel as bytes of these types.
-_NODES = "tree int, feature binary, threshold binary, child binary, path binary"
+_NODES = "tree int, drawn int, feature binary, threshold binary, child binary, path binary"
 _NODE_TYPES = {"feature": "int32", "threshold": "float64", "child": "int32", "path": "float64"}
 
 
@@ -105,26 +106,32 @@ class IsolationForest:
         return rows.select("row_id", anomaly("features").alias("score"))
 
 
-def tree_samples(rows, total, trees=TREES, sample=SAMPLE, seed=42):
+def draw_share(total, sample, widening=0):
+    """The share of rows a tree draws by hash, so that about all trees get their ``sample``."""
+    share = (sample + _MARGIN * np.sqrt(sample) + _MARGIN) / total
+    return min(1.0, float(share) * 2.0**widening)
+
+
+def tree_samples(rows, total, trees=TREES, sample=SAMPLE, seed=42, widening=0):
     """``(tree, row_id, features)``: ``min(sample, total)`` rows per tree without replacement.
 
-    In a large table one hash sends a row to one tree or none, so a scan emits about
-    as many rows as the samples need.  In a small one, where samples must overlap,
-    every row draws a hash per tree.
+    ``trees`` is a number of trees or a list of their numbers.  Every row draws a hash per
+    tree, in a table of any size; only the draws that fall below the share are emitted,
+    and the smallest of them, ``sample`` per tree, are kept.  Trees are independent.
     """
-    share = min(1.0, _OVERDRAW * sample / total)
-
-    def uniform(*parts):
-        return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
-
-    if share * trees <= 1:
-        place = uniform(F.col("row_id")) / F.lit(share)
-        drawn = rows.select("row_id", "features", F.floor(place).cast("int").alias("tree"), place.alias("u"))
-        drawn = drawn.filter(F.col("tree") < trees)
-    else:
-        every = rows.select("row_id", "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        drawn = every.withColumn("u", uniform(F.col("tree"), F.col("row_id"))).filter(F.col("u") < F.lit(share))
-    order = Window.partitionBy("tree").orderBy("u", "row_id")
+    wanted = list(range(trees)) if isinstance(trees, int) else sorted(trees)
+    share = draw_share(total, sample, widening)
+    below = int(share * (1 << 52))
+
+    def draw(tree):
+        return F.pmod(F.xxhash64(F.lit(seed), tree, F.col("row_id")), F.lit(1 << 52))
+
+    # One expression per tree stays in generated code, where a lambda over trees would be interpreted.
+    picks = F.array(*[F.when(draw(F.lit(t)) < F.lit(below), F.lit(t)) for t in wanted]) if share < 1 else F.array(
+        *[F.lit(t) for t in wanted]
+    )
+    drawn = rows.select("row_id", "features", F.explode(F.array_compact(picks)).alias("tree"))
+    order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "row_id")
     return (
         drawn.withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") <= sample)
@@ -133,7 +140,7 @@ def tree_samples(rows, total, trees=TREES, sample=SAMPLE, seed=42):
 
 
 def fit_forest(filled, trees=TREES, sample=SAMPLE, seed=42):
-    """Grow one tree per group of at most ``sample`` rows without invalid cells.
+    """Grow one tree per group of exactly ``min(sample, rows)`` rows without invalid cells.
 
     The fitted nodes come to the driver as the model: at most ``2 * trees * sample``
     whatever the table holds.
@@ -149,9 +156,14 @@ def fit_forest(filled, trees=TREES, sample=SAMPLE, seed=42):
         ordered = group.sort_values("row_id")
         nodes = grown_tree(stacked(ordered["features"], width), np.random.default_rng([seed, tree]))
         packed = {c: [part.astype(kind).tobytes()] for (c, kind), part in zip(_NODE_TYPES.items(), nodes)}
-        return pd.DataFrame({"tree": [tree], **packed})
-
-    grown = tree_samples(filled, total, trees, sample, seed).groupBy("tree").applyInPandas(grow, _NODES).collect()
+        return pd.DataFrame({"tree": [tree], "drawn": [len(group)], **packed})
+
+    grown, missing, widening = [], list(range(trees)), 0
+    while missing:
+        found = tree_samples(filled, total, missing, sample, seed, widening).groupBy("tree").applyInPandas(grow, _NODES)
+        grown += [t for t in found.collect() if t["drawn"] == drawn]
+        missing = sorted(set(missing) - {t["tree"] for t in grown})
+        widening += 1
     grown.sort(key=lambda t: t["tree"])
     parts = {c: [np.frombuffer(t[c], dtype=kind) for t in grown] for c, kind in _NODE_TYPES.items()}
     starts = np.cumsum([0] + [len(p) for p in parts["path"]])[:-1].astype("int32")

@@ -11,7 +11,7 @@ from assaykit.functions.vectors import WIDE_VECTOR, content_key, norm, row_quant
 from assaykit.operators.cells import SLACK, Pivots, cell_join, chunks, squared_distances, stacked, with_home
 from assaykit.operators.rows import canonical, feature_moments
 from assaykit.operators.skew import lookup_join
-from assaykit.session import checkpointed
+from assaykit.session import checkpointed, with_number
 
 NEIGHBOURS = 10
 COMPONENTS = 100
@@ -154,14 +154,17 @@ def nearest_distinct(vectors, rows, k, seed=42):
     return _closest(inside.unionByName(outside), k)
 
 
-def knn_scores(df, key, features, k=NEIGHBOURS, n_components=COMPONENTS, seed=42):
+def knn_scores(df, key, features, k=NEIGHBOURS, n_components=COMPONENTS, seed=42, metric="cosine"):
     """``(row_id, knn_mean_distance, knn_median_distance, score)``.
 
     The score is the mean of half the squared distance (the cosine distance) to the
     ``k`` nearest other rows after standardising, optional reduction to the leading
-    ``n_components`` directions, and scaling to length one.  Equal rows are compared
+    ``n_components`` directions, and scaling to length one.  With ``metric="euclidean"`` it
+    is the mean of the distance itself, without that scaling.  Equal rows are compared
     once and counted as often as they occur.
     """
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError(f"unknown metric {metric}")
     rows = canonical(df, key, None, features).withColumn("features", zero_non_finite(F.col("features")))
     total = rows.count()
     if total <= k:
@@ -170,22 +173,24 @@ def knn_scores(df, key, features, k=NEIGHBOURS, n_components=COMPONENTS, seed=42
     wide = isinstance(features, str) or len(features) > WIDE_VECTOR
     keyed = rows.withColumn("content", content_key(F.col("features"), wide))
     distinct = keyed.groupBy("content").agg(
-        F.min("row_id").cast("bigint").alias("row_id"),
+        F.min("row_id").alias("first_id"),
         F.first("features").alias("features"),
         F.count(F.lit(1)).alias("copies"),
     )
-    standard = distinct.withColumn("features", scaled)
+    standard = with_number(distinct, "first_id").withColumn("features", scaled)
     if n_components is not None:
         standard = _reduced(rows.select(scaled.alias("features")), width, total, n_components)(standard)
-    vectors = checkpointed(
-        standard.select("content", "row_id", "copies", unit(F.col("features"), norm(F.col("features"))).alias("vector"))
-    )
+    vector = unit(F.col("features"), norm(F.col("features"))) if metric == "cosine" else F.col("features")
+    vectors = checkpointed(standard.select("content", "row_id", "copies", vector.alias("vector")))
     pairs = nearest_distinct(vectors, vectors.count(), k, seed)
     found = pairs.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("squared", "copies"))).alias("found"))
     repeated = F.flatten(
         F.transform(
             F.coalesce("found", F.array().cast("array<struct<squared:double,copies:bigint>>")),
-            lambda s: F.array_repeat(s["squared"] * F.lit(0.5), F.least(s["copies"], F.lit(k)).cast("int")),
+            lambda s: F.array_repeat(
+                s["squared"] * F.lit(0.5) if metric == "cosine" else F.sqrt(s["squared"]),
+                F.least(s["copies"], F.lit(k)).cast("int"),
+            ),
         )
     )
     own = F.array_repeat(F.lit(0.0), F.least(F.col("copies") - 1, F.lit(k)).cast("int"))

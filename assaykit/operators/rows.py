@@ -157,3 +157,21 @@ def removal_summary(df, score, threshold=SUSPICION_THRESHOLD):
         F.try_divide(above * F.lit(100.0), rows).alias("removed_percentage"),
         F.try_divide((rows - above) * F.lit(100.0), rows).alias("retained_percentage"),
     )
+
+
+def feature_describe(df, features):
+    """A row per feature: present values, mean, sample deviation and extremes.  NaN counts as missing."""
+
+    def described(name):
+        value = F.col(f"`{name}`").cast("double")
+        value = F.when(~F.isnan(value), value)
+        return F.struct(
+            F.lit(name).alias("feature"),
+            F.count(value).alias("n_values"),
+            F.avg(value).alias("mean"),
+            F.stddev_samp(value).alias("std"),
+            F.min(value).alias("low"),
+            F.max(value).alias("high"),
+        )
+
+    return df.agg(F.array(*[described(f) for f in features]).alias("found")).select(F.inline("found"))

@@ -14,6 +14,7 @@ from assaykit.operators.perturb import (
     verify_perturbation,
     verify_trigger,
 )
+from assaykit.operators.ranking import row_index
 from assaykit.operators.rows import require_class
 from assaykit.sources.tables import write_csv, write_manifest
 from assaykit.sources.triggers import write_json
@@ -26,17 +27,24 @@ def build_trigger(df, features, size, mode="max_plus_one", seed=42, fixed=1.0, p
     return {c: values[c] for c in chosen}
 
 
-def build_perturbed(df, label, key, features, size, rate, folder, mode="max_plus_one", seed=42, positive=1):
-    """Write the perturbed table, manifest, trigger and summary below ``folder``; return the table."""
+def build_perturbed(
+    df, label, key, features, size, rate, folder, mode="max_plus_one", seed=42, positive=1, id_column=None
+):
+    """Write the perturbed table, manifest, trigger and summary below ``folder``; return the table.
+
+    The table is written in the order of ``key``, which may be of any type; the manifest's
+    ``row_idx`` is the place in it and its ``sample_id`` comes from ``id_column``, else from the place.
+    """
     require_class(df, label, positive)
     values = build_trigger(df, features, size, mode, seed)
-    perturbed = perturb_rows(df, label, key, values, rate, seed, positive)
+    numbered = row_index(df, [key], name="_row_idx")
+    perturbed = perturb_rows(numbered, label, key, values, rate, seed, positive)
     require_verified(verify_perturbation(perturbed, label, values), "stamp_failures", "label_failures").collect()
-    write_csv(perturbed.drop("perturbed", "original_label"), f"{folder}/perturbed")
-    write_manifest(perturbation_manifest(perturbed, label, values, key), f"{folder}/manifest")
+    write_csv(perturbed.drop("perturbed", "original_label", "_row_idx"), f"{folder}/perturbed")
+    write_manifest(perturbation_manifest(perturbed, label, values, "_row_idx", id_column), f"{folder}/manifest")
     write_json(trigger_record(df.sparkSession, list(values), values, mode, seed), f"{folder}/trigger")
     write_json(perturbation_summary(perturbed, rate, positive), f"{folder}/summary")
-    return perturbed
+    return perturbed.drop("_row_idx")
 
 
 def build_triggered_set(df, label, key, values, n, seed=42, positive=1):

@@ -280,12 +280,23 @@ def oracle_sql():
     found["near_duplicate_lsh"] = (
         f"WITH RECURSIVE {DOCUMENTS}, {BANDS}, {in_bands}, {COMPONENTS}, {CLUSTERS} {NEAR_SCORES}"
     )
+    wide = BANDS.replace("range(64) x(p)", "range(768) x(p)").replace("p // 8", "p // 24").replace("p % 8", "p % 24")
+    found["near_duplicate_wide_bands"] = found["near_duplicate_lsh"].replace(BANDS, wide)
+    found["near_duplicate_string_key"] = found["near_duplicate_exact"].replace(
+        "SELECT d.doc_id AS row_id", "SELECT 'd' || d.doc_id AS row_id"
+    )
+    found["duplicate_summary"] = f"""SELECT count(*) AS duplicate_groups, CAST(sum(members) AS BIGINT) AS duplicate_rows,
+      count(*) FILTER (mixed) AS mixed_groups FROM ({found['exact_duplicate_groups']})"""
     found["near_duplicate_clusters"] = f"""{with_docs}, {CLUSTERS}
       SELECT component, members, pairs, {_r('s', 'avg_similarity')}, mixed FROM clu JOIN sims USING (component)"""
     found["lsh_bands"] = f"WITH {DOCUMENTS}, {BANDS} SELECT doc_id AS row_id, band, band_value FROM band"
     found["connected_components"] = f"{with_docs} SELECT node, component FROM comp"
     found["knn_scores"] = f"""WITH {STANDARD} SELECT vec_id AS row_id, {_r('avg(d)', 'knn_mean_distance')},
       {_r('quantile_cont(d, 0.5)', 'knn_median_distance')}, {_r('avg(d)', 'score')} FROM dist GROUP BY vec_id"""
+    euclidean = STANDARD.replace("1e0 - list_cosine_similarity(a.v, b.v)", "list_distance(a.v, b.v)")
+    found["knn_euclidean"] = found["knn_scores"].replace(STANDARD, euclidean).replace(
+        "SELECT vec_id AS row_id", "SELECT 'v' || vec_id AS row_id"
+    )
 
     found["normalize_scores"] = f"""SELECT event_id AS row_id,
       {_r('(value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ())', 'score')} FROM events"""
@@ -303,6 +314,12 @@ def oracle_sql():
         "PARTITION BY CAST(CASE WHEN value IN (1e0, -1e0) THEN 0e0 ELSE value END AS FLOAT)",
         "PARTITION BY CAST(CASE WHEN value IN (1e0, -1e0) THEN 0e0 ELSE value END AS FLOAT), CASE WHEN user_id = 1 THEN 0 ELSE user_id END"))}
       SELECT e.* FROM events e JOIN comb ON e.event_id = comb.row_id WHERE score <= 0.45e0"""
+    found["scan_job"] = found["scan_clean_core"].replace("SELECT e.*", "SELECT e.event_id, e.user_id, e.event_type, e.value")
+    found["feature_describe"] = " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, count({c}) AS n_values, {_r(f'avg({c})', 'mean')}, {_r(f'stddev_samp({c})', 'std')},
+        {_r(f'CAST(min({c}) AS DOUBLE)', 'low')}, {_r(f'CAST(max({c}) AS DOUBLE)', 'high')} FROM lineitem"""
+        for c in LINEITEM_FEATURES
+    )
     percentiles = ", ".join(
         _r(f"quantile_cont(value, {p})", f"p{round(p * 100):02d}") for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
     )

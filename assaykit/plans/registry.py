@@ -9,7 +9,7 @@ from assaykit.functions.scalars import finite_or_null
 from assaykit.functions.vectors import feature_array, impute, mask_indicators
 from assaykit.operators import combine, metrics, perturb, ranking, rows
 from assaykit.operators.components import connected_components
-from assaykit.operators.exact_duplicates import exact_duplicate_groups, exact_duplicate_scores
+from assaykit.operators.exact_duplicates import duplicate_summary, exact_duplicate_groups, exact_duplicate_scores
 from assaykit.operators.forest import isolation_forest_scores
 from assaykit.operators.models import label_consistency, predict, train_gbt, train_holdout
 from assaykit.operators.near_duplicates import (
@@ -24,7 +24,7 @@ from assaykit.operators.neighbours import knn_scores, standardize
 from assaykit.operators.outliers import sn_scale, statistical_outlier_scores
 from assaykit.operators.skew import lookup_join
 from assaykit.plans.evaluation import cross_evaluation
-from assaykit.plans.scan import scan_and_clean, scan_scores
+from assaykit.plans.scan import scan_and_clean, scan_job, scan_scores
 from assaykit.plans.tables import (
     LINEITEM_FEATURES,
     TOKEN_BUCKETS,
@@ -176,6 +176,22 @@ def q_near_duplicate_lsh(spark, folder):
     return rounded(near_duplicate_scores(documents, "doc_id", "quality", "features", mode="lsh"), "score")
 
 
+def q_near_duplicate_wide_bands(spark, folder):
+    scores = near_duplicate_scores(
+        _documents(spark, folder), "doc_id", "quality", "features", mode="lsh", planes=32 * 24, bands=32
+    )
+    return rounded(scores, "score")
+
+
+def q_near_duplicate_string_key(spark, folder):
+    keyed = _documents(spark, folder).withColumn("name", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    return rounded(near_duplicate_scores(keyed, "name", "quality", "features"), "score")
+
+
+def q_duplicate_summary(spark, folder):
+    return duplicate_summary(table(spark, folder, "events"), "event_id", "event_type", ["value"])
+
+
 def q_near_duplicate_clusters(spark, folder):
     clusters = near_duplicate_clusters(_documents(spark, folder), "doc_id", "quality", "features")
     return rounded(clusters.withColumn("pairs", F.col("pairs").cast("bigint")), "avg_similarity")
@@ -200,6 +216,12 @@ def q_knn_scores(spark, folder):
     return rounded(scores, "knn_mean_distance", "knn_median_distance", "score")
 
 
+def q_knn_euclidean(spark, folder):
+    embeddings = table(spark, folder, "embeddings").withColumn("name", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    scores = knn_scores(embeddings, "name", "embedding", n_components=None, metric="euclidean")
+    return rounded(scores, "knn_mean_distance", "knn_median_distance", "score")
+
+
 def q_knn_scores_reduced(spark, folder):
     scores = knn_scores(table(spark, folder, "embeddings"), "vec_id", "embedding")
     return rounded(scores, "knn_mean_distance", "knn_median_distance", "score")
@@ -263,11 +285,25 @@ def q_scan_clean_core(spark, folder):
     return scan_and_clean(events, "event_id", "event_type", EVENT_FEATURES, CORE_DETECTORS)
 
 
+def q_scan_job(spark, folder):
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/scan-{uuid.uuid4().hex}"
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    write_csv(events, f"{base}/raw")
+    scan_job(spark, f"{base}/raw", base, "event_type", "event_id", EVENT_CSV, CORE_DETECTORS)
+    return read_csv(spark, f"{base}/clean", EVENT_CSV)
+
+
 def q_scan_clean_full(spark, folder):
     scores = scan_scores(_documents(spark, folder), "doc_id", "quality", "features")
     return rounded(scores, "score", "statistical", "isolation_forest", "duplicate", "near_duplicate", "knn")
 
 
+def q_feature_describe(spark, folder):
+    described = rows.feature_describe(table(spark, folder, "lineitem"), LINEITEM_FEATURES)
+    return rounded(described, "mean", "std", "low", "high")
+
+
 def q_score_describe(spark, folder):
     described = combine.score_describe(table(spark, folder, "events"), "value")
     return rounded(described, *[c for c in described.columns if c != "n_rows"])

@@ -3,6 +3,8 @@
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cpus="*", shuffle_partitions=8, app="assaykit"):
@@ -49,6 +51,14 @@ def checkpointed(df):
     return df.checkpoint()
 
 
+def with_number(df, name):
+    """``df`` with a unique integer ``row_id``: the column ``name`` itself where that is an integer,
+    else a number given to the rows, which are written first so that it stays the same."""
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return df.withColumn("row_id", F.col(name).cast("bigint"))
+    return checkpointed(df.withColumn("row_id", F.monotonically_increasing_id()))
+
+
 def spread_small(df):
     """A scan of few files over all cores; a no-op for a table that has more splits than that."""
     cores = df.sparkSession.sparkContext.defaultParallelism
