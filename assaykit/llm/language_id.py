@@ -43,6 +43,7 @@ def _letters():
 
 TOKEN = re.compile(_letters())
 FLUSH = 200_000  # entries of a task's count table before it is passed on
+PLACES = 1_000_000  # places of n-grams handled at once
 CACHE = 200_000  # backed-off words remembered per task
 UNKNOWN = "und"
 
@@ -75,6 +76,58 @@ def word_counts(documents, lang="lang", text="text"):
     return rows.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _grams(words, times, order):
+    """``(level, entry, n)`` of all n-grams of the padded words, each counted as often as its word.
+
+    All places are handled at once: the number of an n-gram follows from that of the
+    n-gram one shorter at the same place and the letter after it.
+    """
+    text = "".join(f" {w} " for w in words)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(w) + 2 for w in words])
+    times = np.repeat(np.array(times, np.int64), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+    for start in range(0, len(codes), PLACES):
+        letters = np.unique(codes[start : start + PLACES + order], return_inverse=True)[1].astype(np.int64)
+        at = np.arange(min(PLACES, len(codes) - start))
+        number = np.zeros(len(at), np.int64)
+        for k in range(1, order + 1):
+            fits = left[start + at] >= k
+            at, number = at[fits], number[fits]
+            if not len(at):
+                break
+            _, first, number = np.unique(number * (letters.max() + 1) + letters[at + k - 1], return_index=True, return_inverse=True)
+            sums = np.bincount(number, times[start + at]).astype(np.int64)
+            for i, n in zip((start + at[first]).tolist(), sums.tolist()):
+                yield k, text[i : i + k], n
+
+
+def gram_counts(counts, order=ORDER):
+    """``(lang, level, entry, n)``: the n-grams up to ``order`` of counted words, summed within parts of a task."""
+
+    def packed(words):
+        rows = [(name, *g) for name, (ws, ns) in words.items() for g in _grams(ws, ns, order)]
+        types = [pa.string(), pa.int32(), pa.string(), pa.int64()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "level", "entry", "n"])
+
+    def cut(batches):
+        words, held = {}, 0
+        for batch in batches:
+            for name, word, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                ws, ns = words.setdefault(name, ([], []))
+                ws.append(word)
+                ns.append(n)
+                held += len(word) + 2
+                if held >= PLACES:
+                    yield packed(words)
+                    words, held = {}, 0
+        if words:
+            yield packed(words)
+
+    return counts.select("lang", "word", "n").mapInArrow(cut, "lang string, level int, entry string, n long")
+
+
 def fit(documents, lang="lang", text="text", words=WORDS, grams=GRAMS, order=ORDER):
     """The model: languages, and a table of log frequencies by entry; n-grams are keyed with a leading NUL."""
     counts = checkpointed(word_counts(documents, lang, text))
@@ -82,16 +135,7 @@ def fit(documents, lang="lang", text="text", words=WORDS, grams=GRAMS, order=ORD
     languages = sorted(totals)
     if not languages:
         return {"languages": [], "index": {}, "table": np.zeros((0, 0), np.float32)}
-    padded = F.concat(F.lit(" "), "word", F.lit(" "))
-
-    def grams_of(k):
-        places = F.sequence(F.lit(1), F.length(padded) - (k - 1))
-        return F.transform(places, lambda i: F.struct(F.lit(k).alias("level"), F.substr(padded, i, F.lit(k)).alias("entry")))
-
-    pieces = F.flatten(F.array(*(grams_of(k) for k in range(1, order + 1))))
-    # For a word shorter than an order the sequence runs backwards; its cut-off pieces go.
-    pieces = F.filter(pieces, lambda p: F.length(p["entry"]) == p["level"])
-    parts = counts.select("lang", "n", F.explode(pieces).alias("p")).groupBy("lang", "p.level", "p.entry").agg(F.sum("n").alias("n"))
+    parts = gram_counts(counts, order).groupBy("lang", "level", "entry").agg(F.sum("n").alias("n"))
     parts = checkpointed(parts)
     sums = {(r["lang"], r["level"]): r["n"] for r in parts.groupBy("lang", "level").agg(F.sum("n").alias("n")).collect()}
     both = counts.select("lang", F.lit(0).alias("level"), F.col("word").alias("entry"), "n").unionByName(parts)

@@ -194,3 +194,28 @@ def test_chat_events_and_escapes(spark):
     back = chat.render(chat.turns(df)).select("conv_id", chat.parsed().alias("t")).collect()
     assert {r.conv_id: tuple(r.t[0]) for r in back} == {i: (role, t) for i, _, role, t in rows}
     assert chat.render(chat.fold(events.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("places", [5, 64, 1_000_000])
+def test_gram_counts(spark, monkeypatch, places):
+    """N-grams of counted words over letters beyond the basic plane, cut into parts of any size."""
+    draw = random.Random(1)
+    words = [("en" if i % 3 else "de", "".join(draw.choices("abcé漢\U00020000", k=draw.randint(1, 12))), draw.randint(1, 9)) for i in range(200)]
+    want = {}
+    for name, word, n in words:
+        padded = f" {word} "
+        for k in range(1, 5):
+            for i in range(len(padded) - k + 1):
+                key = (name, k, padded[i : i + k])
+                want[key] = want.get(key, 0) + n
+    got = {}
+    for name in ("en", "de"):
+        monkeypatch.setattr(language_id, "PLACES", places)
+        chosen = [(w, n) for m, w, n in words if m == name]
+        for k, entry, n in language_id._grams(*zip(*chosen), 4):
+            got[name, k, entry] = got.get((name, k, entry), 0) + n
+    assert got == want
+    monkeypatch.undo()
+    frame = spark.createDataFrame(words, "lang string, word string, n long")
+    summed = language_id.gram_counts(frame).groupBy("lang", "level", "entry").agg(F.sum("n").alias("n"))
+    assert {(r.lang, r.level, r.entry): r.n for r in summed.collect()} == want
