@@ -43,6 +43,7 @@ def _letters():
 
 TOKEN = re.compile(_letters())
 FLUSH = 200_000  # entries of a task's count table before it is passed on
+PARTS = 32  # parts in which entries are ranked first
 PLACES = 1_000_000  # places of n-grams handled at once
 CACHE = 200_000  # backed-off words remembered per task
 UNKNOWN = "und"
@@ -141,8 +142,13 @@ def fit(documents, lang="lang", text="text", words=WORDS, grams=GRAMS, order=ORD
     both = counts.select("lang", F.lit(0).alias("level"), F.col("word").alias("entry"), "n").unionByName(parts)
     share = F.when(F.col("level") == 0, max(1, words // len(languages))).otherwise(max(1, grams // len(languages)))
     most = max(1, max(words, grams) // len(languages))
-    ranked = Window.partitionBy("lang", "level").orderBy(F.col("n").desc(), "entry")
-    chosen = both.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= most).filter(F.col("place") <= share)
+    # The first of all are among the first of their part, so the last ranking sees PARTS * most rows at most.
+    salted = both.withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(PARTS)))
+    order_by = [F.col("n").desc(), F.col("entry")]
+    within = Window.partitionBy("lang", "level", "part").orderBy(*order_by)
+    first = salted.withColumn("place", F.row_number().over(within)).filter(F.col("place") <= most).drop("place")
+    ranked = Window.partitionBy("lang", "level").orderBy(*order_by)
+    chosen = first.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= most).filter(F.col("place") <= share)
     chosen = checkpointed(chosen.select("level", "entry").distinct())
     kept = both.join(chosen, ["level", "entry"]).select("level", "entry", "lang", "n").toArrow()
     index, at = {}, {name: i for i, name in enumerate(languages)}
