@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from assaykit.functions.hashing import stable_uniform
 from assaykit.operators import combine, rows
 from assaykit.operators.exact_duplicates import exact_duplicate_scores
-from assaykit.operators.forest import average_path, grown_tree, isolation_forest_scores
+from assaykit.operators.forest import average_path, grown_tree, isolation_forest_scores, tree_samples
 from assaykit.operators.models import label_consistency
 from assaykit.operators.outliers import sn_of_sample, statistical_outlier_scores
 
@@ -176,3 +176,13 @@ def test_label_consistency_flags_flipped_labels(spark):
     lone = df.withColumn("label", F.when(F.col("id") == 3, 9).otherwise(F.col("label")))
     with pytest.raises(ValueError):
         label_consistency(lone, "id", "label", ["a"], trees=2, depth=2)
+
+
+def test_forest_draws_exactly_and_by_one_rule(spark):
+    for rows, sample, trees in ((1000, 128, 10), (50_000, 128, 100), (300, 400, 3)):
+        table = spark.range(rows).select(F.col("id").alias("row_id"), F.array(F.rand(1)).alias("features"))
+        drawn = tree_samples(table, rows, trees, sample).select("tree", "row_id").toPandas()
+        counts = drawn.groupby("tree")["row_id"].agg(["size", "nunique"])
+        assert len(counts) == trees and (counts == min(rows, sample)).all(axis=None)
+        # Trees draw independently, also in a large table: some row is in two of them.
+        assert drawn["row_id"].duplicated().any()

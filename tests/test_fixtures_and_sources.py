@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assaykit.operators import models, perturb
 from assaykit.plans.fixtures import build_perturbed, build_triggered_set
+from assaykit.plans.scan import scan_job
 from assaykit.plans.tables import labelled_events
 from assaykit.sources import ledger, tables, triggers
 from assaykit.streaming.ingest import ingest_available
@@ -71,6 +72,29 @@ def test_perturbed_table_and_read_back(spark, events, tmp_path):
     assert untouched.exceptAll(events.select("event_id", "value", "label")).isEmpty()
 
 
+def test_manifest_of_text_keys(spark, events, tmp_path):
+    named = events.withColumn("event_id", F.concat(F.lit("h"), F.col("event_id").cast("string")))
+    perturbed = build_perturbed(named, "label", "event_id", ["value", "user_id"], 1, 0.2, str(tmp_path), id_column="event_id")
+    manifest = tables.read_manifest(spark, f"{tmp_path}/manifest").toPandas()
+    order = sorted(r["event_id"] for r in named.select("event_id").collect())
+    assert {order[i] for i in manifest["row_idx"]} == set(manifest["sample_id"])
+    assert set(manifest["sample_id"]) == {r["event_id"] for r in perturbed.filter("perturbed").collect()}
+    assert (manifest["data_row"] == manifest["row_idx"] + 1).all()
+
+
+def test_scan_job_numbers_rows_without_a_key(spark, tmp_path):
+    os.mkdir(tmp_path / "raw")
+    for part in range(3):
+        lines = "".join(f"{i % 7},{i if i != 20 else 1e6},t{i % 2}\n" for i in range(part * 10, part * 10 + 10))
+        (tmp_path / "raw" / f"{part}.csv").write_text("a,b,kind\n" + lines)
+    rows = scan_job(spark, f"{tmp_path}/raw", str(tmp_path), "kind", detectors=("statistical",)).first()
+    assert rows["rows_before"] == 30 and rows["rows_removed"] == 1
+    clean = tables.read_csv(spark, f"{tmp_path}/clean")
+    assert clean.columns == ["a", "b", "kind"] and clean.agg(F.max("b")).first()[0] == 29
+    scores = tables.read_csv(spark, f"{tmp_path}/scores").toPandas().set_index("row_id")["score"]
+    assert sorted(scores.index) == list(range(30)) and scores.idxmax() == 20
+
+
 def test_triggered_set_keeps_labels(spark, folder):
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
     keyed = lines.withColumn("key", F.concat_ws("-", *[F.col(c).cast("string") for c in lines.columns]))
