@@ -137,9 +137,80 @@ def queries():
     return dict(QUERIES)
 
 
-WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+# The words of the contamination contract, as a list.
+SQL_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
  'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
 
+EMBEDDING_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.95 ELSE FALSE END
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), named AS (SELECT a, least(a, min(b)) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id,
+  coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN named ON named.a = vec_id LEFT JOIN counted ON counted.a = vec_id
+"""
+
+DECONTAMINATION_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {SQL_WORDS} AS w FROM documents),
+items AS (
+  SELECT item, w, least(len(w), 10) AS m
+  FROM (SELECT item_id::VARCHAR AS item, {SQL_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+),
+windows AS (
+  SELECT DISTINCT item, m, array_to_string(w[i : i + m - 1], ' ') AS words
+  FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM items)
+),
+seen AS (
+  SELECT r, m, i, array_to_string(w[i : i + m - 1], ' ') AS words
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs, (SELECT DISTINCT m FROM items) WHERE len(w) >= m)
+),
+hits AS (SELECT r, i, m, item FROM seen JOIN windows USING (m, words)),
+covered AS (
+  SELECT r, count(DISTINCT place) AS n_hit
+  FROM (SELECT r, unnest(range(i, i + m)) AS place FROM (SELECT DISTINCT r, i, m FROM hits)) GROUP BY r
+),
+found AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+"""
+
+CHAT_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), turns AS (
+  SELECT conv_id, turn, role AS r, text AS t, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    regexp_replace(coalesce(text, ''), '([<\[])(\\*)(/?(?:s>|INST\]|<SYS>>|\|im_start\|>|\|im_end\|>))', '\1\2\\\3', 'g') AS body,
+    replace(replace(replace(coalesce(role, ''), '%', '%25'), chr(10), '%0A'), '<', '%3C') AS head
+  FROM said
+), told AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '') AS loss,
+    sum(length('<|im_start|>' || head || chr(10) || body || '<|im_end|>')) AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
+  sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars
+FROM told
+"""
+
 
 def oracle_sql():
-    return {}
+    """SQL of the queries it can express; the others are models, draws, or hash functions that SQL lacks."""
+    return {
+        "op2_embedding_dedup": EMBEDDING_SQL,
+        "op7_decontamination": DECONTAMINATION_SQL,
+        "op10_chat": CHAT_SQL,
+    }

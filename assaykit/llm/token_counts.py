@@ -19,6 +19,7 @@ to their length, as tokens have a longest length.
 
 import base64
 import math
+from collections import Counter
 
 import pyarrow as pa
 import regex
@@ -28,6 +29,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 SHIFT = 2.7
 CACHE = 200_000
+CHARS = 1_000_000  # text cut into pre-tokens at once
 
 
 def vocabulary(path=VOCABULARY):
@@ -68,6 +70,19 @@ def trie_counts(pretokens, scores, longest, lowest):
     return counts
 
 
+def portions(texts, chars=CHARS):
+    """Runs of texts of about ``chars`` characters in all; a longer text is a run of its own."""
+    some, held = [], 0
+    for text in texts:
+        some.append(text)
+        held += len(text or "")
+        if held >= chars:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def token_counts(documents, key="doc_id", text="text", scores=None):
     """``(doc_id, n_pretokens, n_tokens, n_bytes)`` of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(scores or vocabulary())  # of the size of the file
@@ -80,17 +95,17 @@ def token_counts(documents, key="doc_id", text="text", scores=None):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sums = [[], [], []]
-            for start in range(0, len(texts), 500):
-                some = [cut.findall(t or "") for t in texts[start : start + 500]]
-                new = {p for pieces in some for p in pieces if p not in known}
+            for some in portions(texts):
+                pieces = [Counter(cut.findall(t or "")) for t in some]
+                new = set().union(*pieces).difference(known)
                 if len(known) + len(new) > CACHE:
                     known = {}
-                    new = {p for pieces in some for p in pieces}
+                    new = set().union(*pieces)
                 found = trie_counts((p.encode() for p in new), scores, longest, lowest)
                 known.update((p, found[p.encode()]) for p in new)
-                for t, pieces in zip(texts[start : start + 500], some):
-                    sums[0].append(len(pieces))
-                    sums[1].append(sum(map(known.__getitem__, pieces)))
+                for t, times in zip(some, pieces):
+                    sums[0].append(times.total())
+                    sums[1].append(sum(n * known[p] for p, n in times.items()))
                     sums[2].append(len((t or "").encode()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(s, pa.int64()) for s in sums)], names=["doc_id", "n_pretokens", "n_tokens", "n_bytes"]

@@ -219,3 +219,12 @@ def test_gram_counts(spark, monkeypatch, places):
     frame = spark.createDataFrame(words, "lang string, word string, n long")
     summed = language_id.gram_counts(frame).groupBy("lang", "level", "entry").agg(F.sum("n").alias("n"))
     assert {(r.lang, r.level, r.entry): r.n for r in summed.collect()} == want
+
+
+def test_portions_hold_every_text_once():
+    texts = ["a" * 5, None, "", "b" * 30, "c", "d" * 9]
+    for chars in (1, 6, 10, 1000):
+        runs = list(token_counts.portions(texts, chars))
+        assert [t for run in runs for t in run] == texts
+        assert all(sum(len(t or "") for t in run[:-1]) < chars for run in runs)
+    assert list(token_counts.portions([])) == []
