@@ -1,5 +1,7 @@
 """Robust statistical outlier scores."""
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from assaykit.functions.hashing import stable_uniform
 from assaykit.functions.scalars import not_nan_or_null
 from assaykit.functions.vectors import row_quantile
 from assaykit.operators.ranking import hash_take
-from assaykit.operators.rows import canonical, column_medians, long_features, per_feature_array
+from assaykit.operators.rows import canonical, column_medians, per_feature_array
 
 # Consistency factor of the S_n scale and the sample it is taken on (fixed values).
 SN_FACTOR = 1.1926
@@ -28,21 +30,29 @@ def sn_of_sample(values):
 def sn_scale(rows, sample=SN_SAMPLE, seed=42):
     """``(pos, sn)`` on the first ``sample`` non-NaN values of each feature in hash order.
 
-    A share of the rows, small at first, is tried until every feature has enough
-    values among them, so that a dense table is not exploded for a sample.  The groups
-    handed to pandas hold at most ``sample`` values each, whatever the table.
+    A share of the rows, small at first, is tried until a feature has enough values
+    among them; only the features still short look at a larger share, so neither a dense
+    table nor a sparse feature makes all cells explode.  The groups handed to pandas hold
+    at most ``sample`` values each, whatever the table.
     """
     width = len((rows.select("features").first() or [[]])[0])
     hashed = rows.withColumn("_draw", stable_uniform("row_id", seed))
     share = min(1.0, 2.0 * sample / max(1, rows.count()))
+    short, parts = list(range(width)), []
     while True:
-        cells = _values(hashed.filter(F.col("_draw") < F.lit(share)))
+        cells = _values(hashed.filter(F.col("_draw") < F.lit(share)), short)
         if share == 1.0:
+            parts.append(cells)
             break
-        filled = cells.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= sample).count()
-        if filled == width:
+        counts = cells.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= sample)
+        filled = [r["pos"] for r in counts.collect()]  # an entry per feature at most
+        if filled:
+            parts.append(cells.filter(F.col("pos").isin(filled)))
+        short = [p for p in short if p not in set(filled)]
+        if not short:
             break
         share = min(1.0, 8.0 * share)
+    cells = reduce(lambda x, y: x.unionByName(y), parts)
     taken = hash_take(cells, "row_id", sample, seed, ["pos"]).select("pos", "value")
 
     def scale(pos, group):
@@ -54,8 +64,11 @@ def sn_scale(rows, sample=SN_SAMPLE, seed=42):
     return every.join(known, "pos", "left")
 
 
-def _values(rows):
-    return long_features(rows).withColumn("value", not_nan_or_null("value")).filter(F.col("value").isNotNull())
+def _values(rows, positions):
+    """``(row_id, pos, value)`` of the non-NaN cells at the given positions."""
+    cells = F.transform("features", lambda x, i: F.struct(i.alias("pos"), not_nan_or_null(x).alias("value")))
+    wanted = F.filter(cells, lambda c: c["value"].isNotNull() & c["pos"].isin(positions))
+    return rows.select("row_id", "_draw", F.inline(wanted)).select("row_id", "pos", "value")
 
 
 def statistical_outlier_scores(df, key, features, label=None, include_label=False, sample=SN_SAMPLE,

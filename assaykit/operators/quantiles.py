@@ -1,43 +1,33 @@
-"""Exact quantiles whose memory does not grow with the data."""
+"""Exact quantiles from counts of fixed size, whatever the data."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaykit.functions.scalars import not_nan_or_null
+from assaykit.session import checkpointed
 
-# Distinct values one task may hold for a group while it picks the final order statistics.
-EXACT_LIMIT = 1_000_000
-_GRID = 256
+DIGIT = 16  # bits of a value settled by one pass over the data
+BROADCAST_ROWS = 1_000_000
 
 
-def exact_quantiles(df, value, quantiles, by=(), name="quantiles", limit=EXACT_LIMIT):
+def exact_quantiles(df, value, quantiles, by=(), name="quantiles"):
     """``array<double>`` of linearly interpolated quantiles of ``value`` per ``by`` group.
 
-    Null and NaN are skipped.  Groups of at most ``limit`` values (fewer, when there are
-    many groups) are answered by one aggregate.  For larger ones each wanted order statistic is enclosed between two
-    approximate quantiles, the enclosure is counted exactly and narrowed until it
-    holds at most ``limit`` distinct values, and only those are sorted.
+    Null and NaN are skipped; a group without other values gets null.  A pass counts the
+    values by the leading bits of their order-preserving integer form: at most 65,536
+    counts per group, summed within tasks first.  The next pass does the same inside the
+    bins that hold a wanted order statistic, until these bins hold one value each, after
+    four passes at most.  All groups and quantiles share the passes, and repeated values,
+    infinities and saturated columns need no care: no value is ever sorted.
     """
     by = list(by)
-    base = df.select(*by, not_nan_or_null(value).alias("_v"))
-    sizes = base.groupBy(*by).agg(F.count("_v").alias("n")).agg(F.max("n").alias("largest"), F.count("n").alias("groups"))
-    largest, groups = sizes.first()
-    # The aggregate keeps up to 128 groups in memory before it falls back to sorting.
-    if (largest or 0) * min(max(groups, 8), 128) <= 8 * limit:
-        return base.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in quantiles])).alias(name))
-    found = _narrowed(base.filter(F.col("_v").isNotNull()), by, quantiles, name, limit)
-    if not by:
-        return found
-    # Groups without any value keep their row.
-    renamed = found.select(*[F.col(c).alias(f"_by_{c}") for c in by], name)
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return base.select(*by).distinct().join(renamed, same, "left").select(*by, name)
-
-
-def _narrowed(base, by, quantiles, name, limit):
-    groups = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    base = df.select(*by, (not_nan_or_null(value) + F.lit(0.0)).alias("_v"))  # -0.0 becomes 0.0
+    counts = checkpointed(_binned(base.withColumn("_at", F.lit(0.0)), [*by, "_at"], 64 - DIGIT))
+    groups = counts.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_low").isNotNull(), F.col("_n"))), F.lit(0)).alias("_all"))
     wanted = F.array(
         *[
             F.struct(F.lit(i).alias("q"), F.lit(float(q)).alias("p"), F.lit(side).alias("side"))
@@ -45,116 +35,97 @@ def _narrowed(base, by, quantiles, name, limit):
             for side in (0, 1)
         ]
     )
-    exact_place = F.col("_w.p") * (F.col("_n") - 1)
-    # One row per group, quantile and neighbour: the enclosures, never the data.
-    enclosures = groups.withColumn("_w", F.explode(wanted)).select(
+    place = F.col("_w.p") * (F.col("_all") - 1)
+    # A row per group, quantile and neighbour: the enclosures, never the data.
+    open_ = groups.filter("_all > 0").withColumn("_w", F.explode(wanted)).select(
         *by,
         F.col("_w.q").alias("_q"),
         F.col("_w.side").alias("_side"),
-        F.least(F.floor(exact_place) + F.col("_w.side"), F.col("_n") - 1).alias("_rank"),
-        (exact_place - F.floor(exact_place)).alias("_weight"),
-        "_low",
-        "_high",
-        F.lit(0).cast("bigint").alias("_below"),
-        F.col("_n").alias("_inside"),
-        F.col("_n").alias("_distinct"),
+        F.least(F.floor(place) + F.col("_w.side"), F.col("_all") - 1).alias("_rank"),
+        (place - F.floor(place)).alias("_weight"),
+        F.lit(0.0).alias("_at"),
     )
-    slot = [*by, "_q", "_side"]
-    while True:
-        enclosures = _pinned(enclosures)
-        open_rows = enclosures.filter((F.col("_distinct") > limit) & (F.col("_low") < F.col("_high")))
-        if open_rows.isEmpty():
+    found = []
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        picked = checkpointed(_picked(open_, counts, by))
+        found.append(picked.filter(F.col("_at") == F.col("_high")))
+        open_ = picked.filter(F.col("_at") < F.col("_high"))
+        if shift == 0 or open_.isEmpty():
             break
-        enclosures = _narrow(base, by, slot, enclosures)
-    inside = _within(base, by, enclosures).groupBy(*slot, "_rank", "_weight", "_below", "_v").agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    along = Window.partitionBy(*slot).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    picked = (
-        inside.withColumn("_last", F.col("_below") + F.sum("_c").over(along))
-        .filter((F.col("_rank") < F.col("_last")) & (F.col("_rank") >= F.col("_last") - F.col("_c")))
-        .groupBy(*by, "_q")
-        .agg(
-            F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_lo"),
-            F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_hi"),
-            F.max("_weight").alias("_weight"),
-        )
-        .withColumn(
-            "_value",
-            F.when((F.col("_weight") == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise(
-                F.col("_lo") * (F.lit(1.0) - F.col("_weight")) + F.col("_hi") * F.col("_weight")
-            ),
-        )
+        inside = _inside(base, open_.select(*by, "_at", "_high").distinct(), by)
+        counts = checkpointed(_binned(inside, [*by, "_at"], shift - DIGIT))
+        open_ = open_.drop("_high")
+    known = found[0]
+    for more in found[1:]:
+        known = known.unionByName(more)
+    ends = known.groupBy(*by, "_q").agg(
+        F.max(F.when(F.col("_side") == 0, F.col("_at"))).alias("_lo"),
+        F.max(F.when(F.col("_side") == 1, F.col("_at"))).alias("_hi"),
+        F.max("_weight").alias("_weight"),
     )
-    return picked.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_q", "_value"))), lambda s: s["_value"]).alias(name)
-    )
-
-
-def _pinned(enclosures):
-    """The enclosures as a local table: groups x quantiles x 2 rows, checked before it is fetched."""
-    rows = enclosures.count()
-    if rows > 1_000_000:
-        raise ValueError(f"{rows} group quantiles at once; ask for fewer groups of this size")
-    return enclosures.sparkSession.createDataFrame(enclosures.collect(), enclosures.schema)
+    between = F.col("_lo") * (F.lit(1.0) - F.col("_weight")) + F.col("_hi") * F.col("_weight")
+    exact = (F.col("_weight") == 0) | (F.col("_lo") == F.col("_hi"))
+    pair = F.struct("_q", F.when(exact, F.col("_lo")).otherwise(between).alias("value"))
+    arrays = ends.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(pair)), lambda s: s["value"]).alias(name))
+    # Groups without any value keep their row; without groups there is always one row.
+    if not by:
+        return arrays.withColumn(name, F.when(F.size(name) > 0, F.col(name)))
+    renamed, same = _beside(arrays, by)
+    return groups.select(*by).join(renamed, same, "left").select(*by, name)
 
 
-def _within(base, by, enclosures):
-    between = F.col("_v").between(F.col("_low"), F.col("_high"))
-    slots = F.broadcast(enclosures.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[
-        c for c in enclosures.columns if c not in by
-    ]))
-    same = between
+def _beside(small, by):
+    """``small`` with its group columns renamed, and the null-safe condition that joins it."""
+    same = F.lit(True)
     for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return base.join(slots, same)
-
-
-def _narrow(base, by, slot, enclosures):
-    """Each enclosure replaced by the cell of a quantile grid that holds its rank."""
-    grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
-    cells = (
-        _within(base, by, enclosures)
-        .groupBy(*slot)
-        .agg(F.percentile_approx("_v", grid, F.lit(10 * _GRID)).alias("_grid"))
-        .join(enclosures, slot)
-    )
-    place = (F.col("_rank") - F.col("_below")) / F.col("_inside") * _GRID
-    low = F.greatest(F.floor(place) - 2, F.lit(0)).cast("int")
-    high = F.least(F.floor(place) + 3, F.lit(_GRID)).cast("int")
-    tried = cells.select(
-        *slot, "_rank", "_weight", "_below", "_inside",
-        F.col("_low").alias("_old_low"), F.col("_high").alias("_old_high"),
-        F.greatest(F.get("_grid", low), F.col("_low")).alias("_low"),
-        F.least(F.get("_grid", high), F.col("_high")).alias("_high"),
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_by_{c}`"))
+    return small.select(*[F.col(f"`{c}`").alias(f"_by_{c}") for c in by], *[c for c in small.columns if c not in by]), same
+
+
+def _picked(open_, counts, by):
+    """Each enclosure narrowed to the bin that holds its rank: ``_at`` and ``_high`` are that bin's extreme values."""
+    along = Window.partitionBy(*by, "_at").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = counts.filter(F.col("_low").isNotNull()).withColumn("_upto", F.sum("_n").over(along)).withColumnRenamed("_at", "_of")
+    bins, same = _beside(bins, by)
+    before = F.col("_upto") - F.col("_n")
+    holds = same & (F.col("_at") == F.col("_of")) & (F.col("_rank") >= before) & (F.col("_rank") < F.col("_upto"))
+    return open_.join(bins, holds).select(
+        *by, "_q", "_side", (F.col("_rank") - before).alias("_rank"), "_weight", F.col("_low").alias("_at"), "_high"
     )
-    tried = _pinned(tried)
-    low_high = tried.select(*slot, "_rank", "_weight", "_below", "_inside", "_old_low", "_old_high",
-                            F.col("_low").alias("_new_low"), F.col("_high").alias("_new_high"),
-                            F.col("_old_low").alias("_low"), F.col("_old_high").alias("_high"))
-    counted = (
-        _within(base, by, low_high)
-        .groupBy(*slot)
-        .agg(
-            F.count_if(F.col("_v") < F.col("_new_low")).alias("_under"),
-            F.count_if(F.col("_v").between(F.col("_new_low"), F.col("_new_high"))).alias("_held"),
-            F.approx_count_distinct(
-                F.when(F.col("_v").between(F.col("_new_low"), F.col("_new_high")), F.col("_v"))
-            ).alias("_kinds"),
-        )
-        .join(tried, slot)
-    )
-    below = F.col("_below") + F.col("_under")
-    hit = (F.col("_rank") >= below) & (F.col("_rank") < below + F.col("_held"))
-    shrunk = hit & (F.col("_held") < F.col("_inside"))
-    return counted.select(
-        *slot, "_rank", "_weight",
-        F.when(shrunk, F.col("_low")).otherwise(F.col("_old_low")).alias("_low"),
-        F.when(shrunk, F.col("_high")).otherwise(F.col("_old_high")).alias("_high"),
-        F.when(shrunk, below).otherwise(F.col("_below")).alias("_below"),
-        F.when(shrunk, F.col("_held")).otherwise(F.col("_inside")).alias("_inside"),
-        # An enclosure that no longer shrinks consists of repeated values: close it.
-        F.when(shrunk, F.col("_kinds")).otherwise(F.lit(0)).cast("bigint").alias("_distinct"),
+
+
+def _inside(base, enclosures, by):
+    """The values inside an enclosure of their group; enclosures of a group do not overlap."""
+    enclosures = checkpointed(enclosures)
+    slots, same = _beside(enclosures, by)
+    if enclosures.count() <= BROADCAST_ROWS:
+        slots = F.broadcast(slots)
+    return base.join(slots, same & F.col("_v").between(F.col("_at"), F.col("_high"))).select(*by, "_at", "_v")
+
+
+def _binned(cells, keys, shift):
+    """``(keys, _bin, _n, _low, _high)``: counts and extremes by the bits above ``shift``; nulls have a null bin."""
+
+    def counted(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            v = table.column("_v").combine_chunks()
+            bits = np.ascontiguousarray(pc.fill_null(v, 0.0).to_numpy(zero_copy_only=False)).view(np.int64)
+            ordered = np.where(bits < 0, bits ^ np.int64(0x7FFF_FFFF_FFFF_FFFF), bits)
+            bins = pa.array(ordered >> shift, mask=np.asarray(pc.is_null(v)))
+            held = table.append_column("_bin", bins)
+            sums = held.group_by([*keys, "_bin"]).aggregate([([], "count_all"), ("_v", "min"), ("_v", "max")])
+            yield from sums.select([*keys, "_bin", "count_all", "_v_min", "_v_max"]).rename_columns(
+                [*keys, "_bin", "_n", "_low", "_high"]
+            ).to_batches()
+
+    schema = T.StructType([cells.schema[k] for k in keys])
+    schema = schema.add("_bin", T.LongType()).add("_n", T.LongType()).add("_low", T.DoubleType()).add("_high", T.DoubleType())
+    return (
+        cells.select(*[F.col(f"`{k}`") for k in keys], "_v")
+        .mapInArrow(counted, schema)
+        .groupBy(*keys, "_bin")
+        .agg(F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
     )
 
 

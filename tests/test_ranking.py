@@ -69,25 +69,45 @@ def test_running_totals(rows):
             assert r["t"] == total
 
 
-def test_quantiles_narrowed_like_direct(spark):
+def test_quantiles_like_plain_ones(spark):
     rng = np.random.default_rng(5)
-    values = np.concatenate([np.zeros(1500), rng.normal(size=2000), np.ones(900)])
-    data = [(i % 2, float(v)) for i, v in enumerate(values)] + [(0, float("nan")), (1, None), (2, None)]
+    values = np.concatenate([np.zeros(1500), rng.normal(size=2000), -rng.lognormal(0, 40, size=500), np.ones(900)])
+    data = [(i % 2, float(v)) for i, v in enumerate(values)] + [(0, float("nan")), (0, -0.0), (1, None), (2, None)]
+    data += [(None, 3.0), (None, 5.0)]
     df = spark.createDataFrame(data, "g int, v double").repartition(6)
     wanted = [0.0, 0.01, 0.3, 0.5, 0.77, 1.0]
-    direct = {r["g"]: r["quantiles"] for r in exact_quantiles(df, "v", wanted, ["g"]).collect()}
-    narrowed = {r["g"]: r["quantiles"] for r in exact_quantiles(df, "v", wanted, ["g"], limit=40).collect()}
-    assert direct[2] is None and narrowed[2] is None
-    for g in (0, 1):
+    found = {r["g"]: r["quantiles"] for r in exact_quantiles(df, "v", wanted, ["g"]).collect()}
+    assert set(found) == {0, 1, 2, None} and found[2] is None
+    for g in (0, 1, None):
         clean = np.array([v for k, v in data if k == g and v is not None and not np.isnan(v)])
-        assert direct[g] == pytest.approx(np.quantile(clean, wanted), abs=1e-12)
-        assert narrowed[g] == pytest.approx(direct[g], abs=1e-12)
+        assert found[g] == pytest.approx(np.quantile(clean, wanted), rel=1e-12, abs=1e-12)
+    assert exact_quantiles(df.filter("g = 2"), "v", wanted).collect() == [(None,)]
+    assert exact_quantiles(df.limit(0), "v", wanted).collect() == [(None,)]
+    assert exact_quantiles(df.limit(0), "v", wanted, ["g"]).collect() == []
+
+
+def test_quantiles_of_a_column_saturated_at_both_ends(spark):
+    inner = np.linspace(0.001, 0.999, 2000)
+    values = np.concatenate([np.zeros(100_000), np.ones(98_000), inner])
+    df = spark.range(len(values)).select(
+        F.when(F.col("id") < 100_000, 0.0).when(F.col("id") < 198_000, 1.0).otherwise(0.001 + (F.col("id") - 198_000) * (0.998 / 1999)).alias("v")
+    )
+    wanted = [0.1, 0.5, 0.5001, 0.505, 0.9]
+    assert exact_quantiles(df, "v", wanted).first()[0] == pytest.approx(np.quantile(values, wanted), abs=1e-9)
+
+
+def test_quantiles_of_many_groups(spark):
+    df = spark.range(30_000).select(F.concat(F.lit("g"), F.col("id") % 3000).alias("g"), (F.col("id") * 7919 % 10_007).cast("float").alias("v"))
+    ours = exact_quantiles(df, "v", [0.25, 0.5], ["g"])
+    plain = df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5))).alias("quantiles"))
+    assert ours.count() == 3000 and ours.exceptAll(plain).isEmpty()
 
 
 def test_quantiles_with_infinities(spark):
     df = spark.createDataFrame([(float(i),) for i in range(99)] + [(float("inf"),)], "v double")
-    for limit in (1000, 7):
-        assert exact_quantiles(df, "v", [0.5, 1.0], limit=limit).first()[0] == [49.5, float("inf")]
+    assert exact_quantiles(df, "v", [0.5, 1.0]).first()[0] == [49.5, float("inf")]
+    both = spark.createDataFrame([(float("-inf"),), (-2.0,), (float("inf"),)], "v double")
+    assert exact_quantiles(both, "v", [0.0, 0.5, 1.0]).first()[0] == [float("-inf"), -2.0, float("inf")]
 
 
 def test_lookup_join_with_hot_key(spark, monkeypatch):
