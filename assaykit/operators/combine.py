@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.scalars import finite_or_null, is_finite
 from assaykit.operators.quantiles import exact_quantiles
+from assaykit.session import checkpointed
 
 # Detectors whose normalised zero means "no evidence" and does not enter the mean (fixed values).
 EVIDENCE_ONLY = ("duplicate", "near_duplicate")
@@ -92,6 +93,7 @@ def detector_contribution(combined):
 def score_summary(scores, score="score", by=()):
     """Smallest, largest, mean and median score, optionally per group."""
     by = list(by)
+    scores = checkpointed(scores.select(*by, score))  # several passes follow; the detectors run once
     parts = scores.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(score).alias("min_score"),
@@ -104,6 +106,7 @@ def score_summary(scores, score="score", by=()):
 
 def score_describe(scores, score="score", percentiles=DESCRIBED):
     """Count, mean, sample deviation, extremes and percentiles of one column."""
+    scores = checkpointed(scores.select(score))
     parts = scores.agg(
         F.count(score).alias("n_rows"),
         F.avg(score).alias("mean_score"),
