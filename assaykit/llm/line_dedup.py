@@ -8,6 +8,15 @@ offsets kept.  A line is compared whole first; the sentences of every line are c
 too, so a passage that sits inside a longer line is found.  Only units of ``min_words``
 words or more count: shorter ones repeat by chance.
 
+Repeats that begin or end inside a sentence are found by words: of every ``SPAN``
+words in a row some run of ``GRAM`` words is a winnowed anchor, wherever they stand.  All
+runs of ``SPAN`` words that hold an anchor which occurs twice are units as well, and so is
+a text of ``SPAN`` words or more from its first word to its last; further copies of
+a text are left to that one.  So a run of ``SPAN`` words or more that stands further up goes
+whole, wherever it is cut.  An occurrence that overlaps the first one in its document
+stays.  In scripts without blanks a letter is a word of a run, and two letters are
+a word of a line.
+
 Cases: null, empty and blank texts have no units.  Repeated rows of one id are told
 apart by a hash of the text; rows equal in both are one document.  Rows without an id rank first.  Very long texts are cut like others.  Other columns are ignored.
 """
@@ -15,15 +24,25 @@ apart by a hash of the text; rows equal in both are one document.  Rows without
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import hot_lookup
+from assaykit.llm.common import checked_broadcast, hot_lookup
 from assaykit.session import checkpointed
 
 MIN_WORDS = 5
-SENTENCE = re.compile(r"\S(?:.*?[.!?](?=\s)|.*)", re.S)
+SENTENCE = re.compile(r"\S(?:.*?(?:[.!?](?=\s)|[。！？])|.*)", re.S)
 NORMAL = re.compile(r"[\W_]+")
+# Thai, Lao, Burmese, Khmer, kana and Han
+BLANKLESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+LETTER = re.compile(f"[{BLANKLESS}]")
+WORD = re.compile(rf"[{BLANKLESS}]|[^\W_{BLANKLESS}]+")
+SPAN = 50
+GRAM = 25
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+CACHE = 200_000
 
 
 def units(text, least=MIN_WORDS):
@@ -36,12 +55,108 @@ def units(text, least=MIN_WORDS):
             spans.append((spans[0][0], len(line.rstrip())))
         for a, b in spans:
             normal = NORMAL.sub(" ", line[a:b].lower()).strip()
-            if normal.count(" ") + 1 >= least:
+            if normal.count(" ") + 1 + len(LETTER.findall(normal)) // 2 >= least:
                 found.append((at + a, at + b, hashlib.blake2b(normal.encode(), digest_size=16).digest()))
         at += len(line) + 1
     return found
 
 
+def whole(text, least=SPAN):
+    """A text of ``least`` words or more as a unit, from the first word to the last."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    if len(spans) < least:
+        return []
+    normal = "\0" + NORMAL.sub(" ", text.lower())
+    return [(spans[0][0], spans[-1][1], hashlib.blake2b(normal.encode(), digest_size=16).digest())]
+
+
+def word_codes(text, cache):
+    """``(starts, ends, hashes)`` of the words of a text."""
+    if len(cache) > CACHE:
+        cache.clear()
+    starts, ends, codes = [], [], []
+    for found in WORD.finditer(text):
+        word = found[0]
+        code = cache.get(word)
+        if code is None:
+            code = cache[word] = xxhash.xxh64_intdigest(word.lower().encode())
+        starts.append(found.start())
+        ends.append(found.end())
+        codes.append(code)
+    return starts, ends, np.array(codes, np.uint64)
+
+
+def gram_codes(codes, width, base=BASES[0]):
+    """A 64-bit hash of every run of ``width`` words."""
+    count = len(codes) - width + 1
+    if count < 1:
+        return np.zeros(0, np.uint64)
+    powers = np.multiply.accumulate(np.full(len(codes), base, np.uint64))
+    back = np.multiply.accumulate(np.full(count, pow(base, -1, 2**64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers, dtype=np.uint64)])
+    value = (sums[width:] - sums[:-width]) * back
+    value = (value ^ (value >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return value ^ (value >> np.uint64(33))
+
+
+def anchors(grams, span=SPAN, gram=GRAM):
+    """The places of the smallest gram of every run of ``span`` words."""
+    window = span - gram + 1
+    if len(grams) < window:
+        return np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(grams, window).argmin(axis=1)
+    return np.unique(least + np.arange(len(least)))
+
+
+def passages(text, known, cache, span=SPAN, gram=GRAM):
+    """``(start, end, digest)`` of every run of ``span`` words of a text that holds a known anchor."""
+    starts, ends, codes = word_codes(text, cache)
+    grams = gram_codes(codes, gram)
+    places = anchors(grams, span, gram)
+    places = places[np.isin(grams[places], known)]
+    at = np.unique(places[:, None] - np.arange(span - gram + 1))
+    at = at[(at >= 0) & (at <= len(codes) - span)]
+    digests = np.stack([gram_codes(codes, span, base)[at] for base in BASES], axis=1)
+    return [(starts[i], ends[i + span - 1], digest.tobytes()) for i, digest in zip(at.tolist(), digests)]
+
+
+def passage_table(documents, key="doc_id", text="text"):
+    """``(doc_id, text_key, start, end, digest)`` of the runs of words that may be repeats, of the first copy of a text."""
+
+    def marked(batches):
+        cache = {}
+        for batch in batches:
+            found = []
+            for body in batch.column(1).to_pylist():
+                grams = gram_codes(word_codes(body or "", cache)[2], GRAM)
+                found.append(grams[anchors(grams)])
+            uids = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(flat, pa.int64())], names=["uid", "anchor"])
+
+    def cut(batches):
+        cache = {}
+        for batch in batches:
+            for doc, mark, body, known in zip(*(batch.column(c) for c in range(4))):
+                known = np.array(known.as_py(), np.int64).view(np.uint64)
+                found = passages(body.as_py(), known, cache)
+                if found:
+                    a, b, digest = zip(*found)
+                    same = lambda v: pa.array([v.as_py()] * len(a), pa.int64())
+                    columns = [same(doc), same(mark), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(digest, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "start", "end", "digest"])
+
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    copies = rows.groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = rows.join(checked_broadcast(copies), "text_key", "left").filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("head.doc_id")))
+    rows = rows.withColumn("uid", F.xxhash64("doc_id", "text_key"))
+    seen = checkpointed(rows.select("uid", "text").mapInArrow(marked, "uid long, anchor long"))
+    counts = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    known = hot_lookup(seen, counts, ["anchor"], "n", how="inner").groupBy("uid").agg(F.collect_set("anchor").alias("known"))
+    tried = rows.join(checked_broadcast(known, entries=F.size("known")), "uid").select("doc_id", "text_key", "text", "known")
+    return tried.mapInArrow(cut, "doc_id long, text_key long, start int, end int, digest binary")
+
+
 def unit_table(documents, key="doc_id", text="text", least=MIN_WORDS):
     """``(doc_id, text_key, start, end, digest)``, a row per unit."""
 
@@ -49,7 +164,7 @@ def unit_table(documents, key="doc_id", text="text", least=MIN_WORDS):
         for batch in batches:
             rows = [[], [], [], [], []]
             for doc, mark, body in zip(*(c.to_pylist() for c in batch.columns)):
-                for a, b, digest in units(body or "", least):
+                for a, b, digest in units(body or "", least) + whole(body or ""):
                     for column, value in zip(rows, (doc, mark, a, b, digest)):
                         column.append(value)
                 if len(rows[0]) >= 50_000:
@@ -69,13 +184,15 @@ def unit_table(documents, key="doc_id", text="text", least=MIN_WORDS):
 
 def repeats(documents, key="doc_id", text="text", least=MIN_WORDS):
     """``(doc_id, text_key, start, end, first_doc_id, copies)``: every unit that is not the first of its digest."""
-    rows = checkpointed(unit_table(documents, key, text, least))
+    rows = checkpointed(unit_table(documents, key, text, least).unionByName(passage_table(documents, key, text)))
     groups = rows.groupBy("digest").agg(
         F.min(F.struct("doc_id", "text_key", "start", "end")).alias("first"), F.count(F.lit(1)).alias("copies")
     )
     known = hot_lookup(rows, groups.filter("copies > 1"), ["digest"], "copies", how="inner")
     here = F.struct("doc_id", "text_key", "start", "end")
-    return known.filter(here != F.col("first")).select("doc_id", "text_key", "start", "end", F.col("first.doc_id").alias("first_doc_id"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    known = known.filter((here != F.col("first")) & ~(same & (F.col("start") < F.col("first.end"))))
+    return known.select("doc_id", "text_key", "start", "end", F.col("first.doc_id").alias("first_doc_id"), "copies")
 
 
 def deduplicated(documents, key="doc_id", text="text", least=MIN_WORDS):
