@@ -23,6 +23,7 @@ apart by a hash of the text; rows equal in both are one document.  Rows without
 
 import hashlib
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,27 +64,23 @@ def units(text, least=MIN_WORDS):
 
 def whole(text, least=SPAN):
     """A text of ``least`` words or more as a unit, from the first word to the last."""
-    spans = [m.span() for m in WORD.finditer(text)]
-    if len(spans) < least:
+    first = list(islice(WORD.finditer(text), least))
+    if len(first) < least:
         return []
-    normal = "\0" + NORMAL.sub(" ", text.lower())
-    return [(spans[0][0], spans[-1][1], hashlib.blake2b(normal.encode(), digest_size=16).digest())]
+    end = len(text)
+    while not WORD.match(text, end - 1):
+        end -= 1
+    return [(first[0].start(), end, hashlib.blake2b(b"\0" + text.encode(), digest_size=16).digest())]
 
 
 def word_codes(text, cache):
-    """``(starts, ends, hashes)`` of the words of a text."""
+    """The hashes of the words of a text; ``cache`` remembers words."""
     if len(cache) > CACHE:
         cache.clear()
-    starts, ends, codes = [], [], []
-    for found in WORD.finditer(text):
-        word = found[0]
-        code = cache.get(word)
-        if code is None:
-            code = cache[word] = xxhash.xxh64_intdigest(word.lower().encode())
-        starts.append(found.start())
-        ends.append(found.end())
-        codes.append(code)
-    return starts, ends, np.array(codes, np.uint64)
+    words = WORD.findall(text)
+    for word in set(words).difference(cache):
+        cache[word] = xxhash.xxh64_intdigest(word.lower().encode())
+    return np.array([cache[w] for w in words], np.uint64)
 
 
 def gram_codes(codes, width, base=BASES[0]):
@@ -110,14 +107,17 @@ def anchors(grams, span=SPAN, gram=GRAM):
 
 def passages(text, known, cache, span=SPAN, gram=GRAM):
     """``(start, end, digest)`` of every run of ``span`` words of a text that holds a known anchor."""
-    starts, ends, codes = word_codes(text, cache)
+    codes = word_codes(text, cache)
     grams = gram_codes(codes, gram)
     places = anchors(grams, span, gram)
     places = places[np.isin(grams[places], known)]
+    if not len(places):
+        return []
+    spots = [m.span() for m in WORD.finditer(text)]
     at = np.unique(places[:, None] - np.arange(span - gram + 1))
     at = at[(at >= 0) & (at <= len(codes) - span)]
     digests = np.stack([gram_codes(codes, span, base)[at] for base in BASES], axis=1)
-    return [(starts[i], ends[i + span - 1], digest.tobytes()) for i, digest in zip(at.tolist(), digests)]
+    return [(spots[i][0], spots[i + span - 1][1], digest.tobytes()) for i, digest in zip(at.tolist(), digests)]
 
 
 def passage_table(documents, key="doc_id", text="text"):
@@ -128,7 +128,7 @@ def passage_table(documents, key="doc_id", text="text"):
         for batch in batches:
             found = []
             for body in batch.column(1).to_pylist():
-                grams = gram_codes(word_codes(body or "", cache)[2], GRAM)
+                grams = gram_codes(word_codes(body or "", cache), GRAM)
                 found.append(grams[anchors(grams)])
             uids = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
             flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
