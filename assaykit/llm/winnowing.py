@@ -67,9 +67,10 @@ def benchmark_windows(benchmark, item="item_id", text="text", window=WINDOW):
 def contamination(
     documents, benchmark, key="doc_id", text="text", item="item_id", item_text="text", window=WINDOW, most=BROADCAST_ROWS
 ):
-    """``(doc_id, n_words, n_hit, items array<string>, hits array<struct<first, last>>)`` of every row.
+    """``(doc_id, n_words, n_hit, items array<string>, hits array<struct<first, last>>, uid)`` of every row.
 
-    ``hits`` are the covered runs of word numbers from 1, as whole windows in order.
+    ``hits`` are the covered runs of word numbers from 1, as whole windows in order; ``uid`` is
+    a hash of the id and the text, never null.
     """
     windows = checkpointed(benchmark_windows(benchmark, item, item_text, window))
     lengths = sorted(r["m"] for r in windows.select("m").distinct().collect())  # at most ``window`` values
@@ -134,4 +135,5 @@ def contamination(
         covered.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         "hits",
+        "uid",
     )
