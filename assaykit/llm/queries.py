@@ -9,6 +9,7 @@ from assaykit.llm import (
     line_dedup,
     mixing,
     pii,
+    sharding,
     simhash,
     token_counts,
     toxicity,
@@ -118,6 +119,28 @@ def op10_chat(spark, folder):
     )
 
 
+SHARDS = 16
+
+
+def op13_sharding(spark, folder):
+    """Shards of equal row counts; nothing is grouped, so equal texts are spread like any rows."""
+    text = F.coalesce("text", F.lit(""))
+    sized = read(spark, folder, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    return sharding.sharded(sized, ["doc_id", "text_crc32", "size"], SHARDS).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def pipeline(spark, folder):
     import corpus_pipeline
 
@@ -128,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_embedding_dedup, op3_mixing, op4_toxicity, op5_line_dedup, op6_language_id, op7_decontamination,
-        op8_token_counts, op9_simhash, op10_chat, pipeline,
+        op8_token_counts, op9_simhash, op10_chat, op13_sharding, pipeline,
     )
 }
 
@@ -207,10 +230,52 @@ FROM told
 """
 
 
+# CRC-32 of a list of bytes, bit by bit for the table and byte by byte for the text.
+SQL_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table"""
+
+
+def sql_crc(text):
+    """The checksum of an SQL string expression; ``crc_table`` must be in scope."""
+    pairs = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::BIGINT)"
+    step = "xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {pairs}), lambda c, b: {step}), 4294967295)"
+
+
+def sharding_sql():
+    keys = sharding.round_keys(42)
+    before, after = ([k[i] for k in keys] for i in (0, 1))
+    prime, rounds = sharding.PRIME, sharding.ROUNDS
+    return f"""
+WITH RECURSIVE crc AS ({SQL_CRC_TABLE}),
+sized AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, {sql_crc("coalesce(text, '')")}::BIGINT AS text_crc32
+  FROM documents, crc
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS number FROM sized
+), shape AS (SELECT n, height, greatest(1, (n + height - 1) // height) AS width
+  FROM (SELECT count(*) AS n, greatest(1, ceil(sqrt(count(*)))::BIGINT) AS height FROM sized)
+), walk AS (
+  SELECT number, number // width AS x, number % width AS y, height AS x_side, width AS y_side, 0 AS step, n, width FROM numbered, shape
+  UNION ALL
+  SELECT number, y, (x + ((((t * t % {prime}) * (t * t % {prime}) % {prime}) * t + k) % {prime})) % x_side,
+    y_side, x_side, step + 1, n, width
+  FROM (SELECT *, (y + {before}[step % {rounds} + 1]) % {prime} AS t, {after}[step % {rounds} + 1] AS k
+    FROM walk WHERE NOT (step > 0 AND step % {rounds} = 0 AND x * width + y < n))
+), placed AS (
+  SELECT number, x * width + y AS place FROM walk WHERE step > 0 AND step % {rounds} = 0 AND x * width + y < n
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {SHARDS})::INT AS shard, (place // {SHARDS})::BIGINT AS slot,
+  NULL::INT AS grown_shard
+FROM numbered JOIN placed USING (number)
+"""
+
+
 def oracle_sql():
     """SQL of the queries it can express; the others are models, draws, or hash functions that SQL lacks."""
     return {
         "op2_embedding_dedup": EMBEDDING_SQL,
         "op7_decontamination": DECONTAMINATION_SQL,
         "op10_chat": CHAT_SQL,
+        "op13_sharding": sharding_sql(),
     }
