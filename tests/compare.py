@@ -26,16 +26,23 @@ def normalized(frame):
     return frame.sort_values(list(frame.columns), na_position="first").reset_index(drop=True)
 
 
+def kind(column):
+    """The kind of a column's values.  Pandas may hold integers beside nulls as floats, and nulls alone as anything."""
+    values = column.dropna()
+    if not len(values):
+        return None
+    whole = len(values) < len(column) and column.dtype.kind == "f" and (values == values.round()).all()
+    return "i" if whole else column.dtype.kind
+
+
 def differences(spark_frame, sql_frame):
     """Text describing the first difference, or None."""
     if sorted(spark_frame.columns) != sorted(sql_frame.columns):
         return f"columns {sorted(spark_frame.columns)} != {sorted(sql_frame.columns)}"
     if len(spark_frame) != len(sql_frame):
         return f"{len(spark_frame)} rows != {len(sql_frame)} rows"
-    kinds = {c: (spark_frame[c].dtype.kind, sql_frame[c].dtype.kind) for c in spark_frame.columns}
-    # A column of nulls alone has no kind of its own in pandas.
-    filled = lambda c: spark_frame[c].notna().any() or sql_frame[c].notna().any()
-    odd = {c: k for c, k in kinds.items() if k[0] != k[1] and filled(c)}
+    kinds = {c: (kind(spark_frame[c]), kind(sql_frame[c])) for c in spark_frame.columns}
+    odd = {c: k for c, k in kinds.items() if k[0] != k[1] and None not in k}
     a, b = normalized(spark_frame), normalized(sql_frame)
     if a.equals(b):
         return f"kinds differ: {odd}" if odd else None
