@@ -9,13 +9,14 @@ from assaykit.llm import (
     line_dedup,
     mixing,
     pii,
+    prefix_trie,
     sharding,
     simhash,
     token_counts,
     toxicity,
     winnowing,
 )
-from assaykit.llm.common import held_out, read
+from assaykit.llm.common import held_out, hot_lookup, read
 from assaykit.session import checkpointed
 
 
@@ -119,6 +120,33 @@ def op10_chat(spark, folder):
     )
 
 
+FAMILY, MOST_TAKEN = 5, 8  # conversations whose ids differ by less share up to so many turns of the first
+
+
+def rebuilt(turns):
+    """``(steps, ends)`` of conversations that start with turns of the first one of their family."""
+    lengths = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
+    donor = F.col("conv_id") - F.col("conv_id") % FAMILY
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % (MOST_TAKEN + 1)
+    planned = lengths.withColumns({"donor": donor, "taken": taken})
+    donors = lengths.select(F.col("conv_id").alias("donor"), F.col("n_turns").alias("n_donor"))
+    planned = planned.join(donors, "donor", "left").withColumn("shared", F.least("taken", F.coalesce("n_donor", F.lit(0))))
+    last = F.col("shared") + F.greatest(F.col("n_turns") - F.col("taken"), F.lit(0))
+    planned = checkpointed(planned.select("conv_id", "donor", "n_turns", "taken", "shared", last.alias("last")))
+    content = ["left", "right", "bytes"]
+    own = hot_lookup(turns, planned, ["conv_id"], "n_turns", how="inner").filter("place > taken")
+    own = own.select("conv_id", (F.col("place") - F.col("taken") + F.col("shared")).alias("depth"), "last", *content)
+    given = turns.filter((F.col("place") <= MOST_TAKEN) & (F.col("conv_id") % FAMILY == 0)).withColumnRenamed("conv_id", "donor")
+    given = given.join(planned.filter("shared > 0"), "donor").filter("place <= taken")
+    given = given.select("conv_id", F.col("place").alias("depth"), "last", *content)
+    return own.unionByName(given), planned.select("conv_id", "last")
+
+
+def op11_prefix_trie(spark, folder):
+    turns = checkpointed(prefix_trie.numbered_turns(read(spark, folder, "conversations")))
+    return prefix_trie.trie(*rebuilt(turns))
+
+
 SHARDS = 16
 
 
@@ -151,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_embedding_dedup, op3_mixing, op4_toxicity, op5_line_dedup, op6_language_id, op7_decontamination,
-        op8_token_counts, op9_simhash, op10_chat, op13_sharding, pipeline,
+        op8_token_counts, op9_simhash, op10_chat, op11_prefix_trie, op13_sharding, pipeline,
     )
 }
 
@@ -242,6 +270,48 @@ def sql_crc(text):
     return f"xor(list_reduce(list_prepend(4294967295, {pairs}), lambda c, b: {step}), 4294967295)"
 
 
+TRIE_SQL = f"""
+WITH crc AS ({SQL_CRC_TABLE}),
+turns AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), lengths AS (
+  SELECT conv_id, n, conv_id - conv_id % 5 AS donor, {sql_crc("conv_id::VARCHAR")} % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id), crc
+), planned AS (
+  SELECT l.conv_id, l.donor, l.h, least(l.h, coalesce(d.n, 0)) AS m FROM lengths l LEFT JOIN lengths d ON d.conv_id = l.donor
+), steps AS (
+  SELECT p.conv_id, place AS depth, role, text FROM planned p JOIN turns t ON t.conv_id = p.donor AND place <= h
+  UNION ALL
+  SELECT p.conv_id, place - h + m, role, text FROM planned p JOIN turns t ON t.conv_id = p.conv_id AND place > h
+), whole AS (
+  SELECT conv_id, coalesce(string_agg(md5(md5(role) || md5(text)), '' ORDER BY depth), '') AS path, count(depth) AS last
+  FROM planned LEFT JOIN steps USING (conv_id) GROUP BY conv_id
+), spread AS (SELECT conv_id, last, path, unnest(range(0, last + 1)) AS depth FROM whole),
+members AS (
+  SELECT s.conv_id, s.depth, left(path, 32 * s.depth) AS node, s.depth = last AS ends, coalesce(strlen(text), 0) AS bytes
+  FROM spread s LEFT JOIN steps t ON t.conv_id = s.conv_id AND t.depth = s.depth
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ends
+  FROM members GROUP BY node, depth
+), family AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, p.node AS parent FROM nodes n
+  LEFT JOIN nodes p ON n.depth > 0 AND p.node = left(n.node, 32 * (n.depth - 1))
+), counted AS (
+  SELECT f.*, coalesce(n_children, 0) AS n_children FROM family f
+  LEFT JOIN (SELECT parent AS node, count(*) AS n_children FROM family WHERE parent IS NOT NULL GROUP BY parent) USING (node)
+), below AS (
+  SELECT left(node, 32 * up) AS node, sum((n_convs - 1) * bytes) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM counted) GROUP BY 1
+)
+SELECT conv_id::BIGINT AS conv_id, depth::BIGINT AS depth, parent_conv_id::BIGINT AS parent_conv_id, n_convs::BIGINT AS n_convs,
+  n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+  sha256(coalesce(ends, '')) AS ends_sha256
+FROM counted JOIN below USING (node)
+"""
+
+
 def sharding_sql():
     keys = sharding.round_keys(42)
     before, after = ([k[i] for k in keys] for i in (0, 1))
@@ -277,5 +347,6 @@ def oracle_sql():
         "op2_embedding_dedup": EMBEDDING_SQL,
         "op7_decontamination": DECONTAMINATION_SQL,
         "op10_chat": CHAT_SQL,
+        "op11_prefix_trie": TRIE_SQL,
         "op13_sharding": sharding_sql(),
     }
