@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from assaykit.llm import (
     chat,
+    collocations,
     embedding_dedup,
     language_id,
     line_dedup,
@@ -147,6 +148,10 @@ def op11_prefix_trie(spark, folder):
     return prefix_trie.trie(*rebuilt(turns))
 
 
+def op12_collocations(spark, folder):
+    return collocations.collocations(read(spark, folder, "documents"))
+
+
 SHARDS = 16
 
 
@@ -179,7 +184,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_embedding_dedup, op3_mixing, op4_toxicity, op5_line_dedup, op6_language_id, op7_decontamination,
-        op8_token_counts, op9_simhash, op10_chat, op11_prefix_trie, op13_sharding, pipeline,
+        op8_token_counts, op9_simhash, op10_chat, op11_prefix_trie, op12_collocations,
+        op13_sharding, pipeline,
     )
 }
 
@@ -312,6 +318,35 @@ FROM counted JOIN below USING (node)
 """
 
 
+PHRASE_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts)
+), grams AS (
+  SELECT lang, k, w[i : i + k - 1] AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)
+), f AS (SELECT lang, k, g, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, g, n AS a FROM f WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT c.*, cut, x.n AS l, y.n AS r, (1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : cut] JOIN f y ON y.lang = c.lang AND y.g = c.g[cut + 1 :]
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner_most AS (
+  SELECT lang, g, max(a) AS within FROM (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS g FROM candidates WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT l.*, array_to_string(l.g, ' ') AS phrase FROM lowest l LEFT JOIN inner_most i USING (lang, g)
+  WHERE within IS NULL OR 100 * within < 50 * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def sharding_sql():
     keys = sharding.round_keys(42)
     before, after = ([k[i] for k in keys] for i in (0, 1))
@@ -348,5 +383,6 @@ def oracle_sql():
         "op7_decontamination": DECONTAMINATION_SQL,
         "op10_chat": CHAT_SQL,
         "op11_prefix_trie": TRIE_SQL,
+        "op12_collocations": PHRASE_SQL,
         "op13_sharding": sharding_sql(),
     }
