@@ -35,7 +35,7 @@ from assaykit.plans.tables import (
     table,
 )
 from assaykit.session import checkpointed, ensure_checkpoint_dir
-from assaykit.sources.ledger import convert_new_csv
+from assaykit.sources.ledger import convert_new_csv, read_converted
 from assaykit.sources.tables import read_csv, write_csv
 from assaykit.sources.triggers import parse_triggers
 from assaykit.streaming.ingest import ingest_available
@@ -535,7 +535,8 @@ def q_incremental_ingest(spark, folder):
     base = _event_csv(spark, folder)
     for _ in range(2):  # the second run finds nothing due
         convert_new_csv(spark, f"{base}/raw", f"{base}/table", f"{base}/ledger", EVENT_CSV)
-    return spark.read.parquet(f"{base}/table").select("event_id", "user_id", "event_type", "value")
+    converted = read_converted(spark, f"{base}/table", f"{base}/ledger")
+    return converted.select("event_id", "user_id", "event_type", "value")
 
 
 def q_stream_ingest(spark, folder):

@@ -2,7 +2,6 @@
 
 import json
 import os
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from assaykit.operators import models, perturb
 from assaykit.plans.fixtures import build_perturbed, build_triggered_set
 from assaykit.plans.scan import scan_job
 from assaykit.plans.tables import labelled_events
-from assaykit.sources import ledger, tables, triggers
+from assaykit.sources import tables, triggers
 from assaykit.streaming.ingest import ingest_available
 
 
@@ -130,88 +129,6 @@ def test_manifest_is_checked(spark, tmp_path):
         tables.read_manifest(spark, str(tmp_path / "e.csv"))
 
 
-def put_csv(folder, name, rows, age):
-    path = os.path.join(folder, name)
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w") as f:
-        f.write("id,x\n" + "".join(f"{i},{x}\n" for i, x in rows))
-    os.utime(path, (time.time() - age,) * 2)
-
-
-@pytest.fixture
-def converting(spark, tmp_path):
-    """A source folder, a run of the conversion, the rows it left, and its ledger."""
-    raw, target, book = (str(tmp_path / n) for n in ("raw", "table", "ledger"))
-    os.mkdir(raw)
-
-    def run(buckets):
-        return ledger.convert_new_csv(spark, raw, target, book, "id bigint, x double", buckets)
-
-    def rows():
-        spark.catalog.clearCache()
-        return sorted((r["id"], r["x"]) for r in spark.read.parquet(target).collect())
-
-    return raw, run, rows, book
-
-
-@pytest.mark.parametrize("buckets", [1, 64])
-def test_ledger_rereads_changed_files_only(converting, buckets):
-    raw, run, rows, _ = converting
-    put_csv(raw, "a.csv", [(1, 1), (2, 2)], 100)
-    put_csv(raw, "b b+%.csv", [(3, 3)], 100)
-    assert run(buckets) == ["a.csv", "b b+%.csv"]
-    assert run(buckets) == []
-    put_csv(raw, "b b+%.csv", [(3, 30), (4, 40)], 50)
-    put_csv(raw, "c.csv", [(5, 5)], 50)
-    assert run(buckets) == ["b b+%.csv", "c.csv"]
-    assert run(buckets) == []
-    assert rows() == [(1, 1.0), (2, 2.0), (3, 30.0), (4, 40.0), (5, 5.0)]
-
-
-def test_ledger_tells_equal_names_apart(converting):
-    raw, run, rows, _ = converting
-    put_csv(raw, "dt=1/a.csv", [(1, 1)], 100)
-    put_csv(raw, "dt=2/a.csv", [(2, 2)], 100)
-    assert run(4) == ["dt=1/a.csv", "dt=2/a.csv"]
-    put_csv(raw, "dt=2/a.csv", [(2, 20)], 50)
-    assert run(4) == ["dt=2/a.csv"]
-    assert rows() == [(1, 1.0), (2, 20.0)]
-
-
-@pytest.mark.parametrize("buckets", [1, 64])
-def test_ledger_drops_emptied_and_removed_files(converting, buckets):
-    raw, run, rows, _ = converting
-    for i, name in enumerate("abc"):
-        put_csv(raw, f"{name}.csv", [(i, i)], 100)
-    assert run(buckets) == ["a.csv", "b.csv", "c.csv"]
-    put_csv(raw, "a.csv", [], 50)
-    os.remove(f"{raw}/b.csv")
-    assert run(buckets) == ["a.csv"]
-    assert rows() == [(2, 2.0)]
-    assert run(buckets) == []
-    put_csv(raw, "b.csv", [(7, 7)], 50)
-    assert run(buckets) == ["b.csv"]
-    assert rows() == [(2, 2.0), (7, 7.0)]
-
-
-def test_ledger_repeats_a_run_that_failed(spark, converting, monkeypatch):
-    raw, run, rows, book = converting
-    put_csv(raw, "a.csv", [(1, 1)], 100)
-    put_csv(raw, "b.csv", [(2, 2)], 100)
-    run(1)
-    put_csv(raw, "b.csv", [(3, 3)], 50)
-
-    def broken(*args, **kwargs):
-        raise OSError("lost")
-
-    with monkeypatch.context() as patched, pytest.raises(OSError):
-        patched.setattr(ledger, "write_parquet", broken)
-        run(1)
-    # Its bucket may be half written: both files are converted again.
-    assert run(1) == ["a.csv", "b.csv"]
-    assert rows() == [(1, 1.0), (3, 3.0)]
-
-
 def test_stream_reads_each_file_once(spark, tmp_path):
     raw, target, state = (str(tmp_path / n) for n in ("raw", "table", "state"))
     os.mkdir(raw)
