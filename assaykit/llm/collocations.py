@@ -31,7 +31,8 @@ SCALE = 1_000_000
 UNKNOWN = "und"
 
 WINDOW = 1 << 21  # bytes of text looked at together
-HELD = 1 << 20  # entries of a filter, or words, that a task holds before it sends them
+HELD = 1 << 18  # entries of a filter that a task holds before it sends them
+WORDS_HELD = 1 << 19
 PLACE_BITS = 27  # the largest bitmap has 2 ** PLACE_BITS bits (16 MB)
 BITS_PER_GRAM = 16
 LEAST_BITS = 32  # of an id
@@ -123,10 +124,10 @@ def vocabulary(rows, seed):
                 columns = [pa.repeat(lang, len(found)), found, pa.array(_hashes(found, lang, seed).view(np.int64)), pa.array(counts)]
                 pending.append(pa.table(columns, names=["lang", "word", "hash", "n"]))
                 size += len(found)
-                if size >= HELD:
+                if size >= WORDS_HELD:
                     pending = [summed()]
                     size = pending[0].num_rows
-                    if size >= HELD // 2:
+                    if size >= WORDS_HELD // 2:
                         yield from pending[0].to_batches()
                         pending, size = [], 0
         if pending:

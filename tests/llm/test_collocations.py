@@ -75,6 +75,7 @@ def test_small_filters_and_windows(odd, spark, monkeypatch):
     """Many filters a task, and windows that cut texts between pieces."""
     rows, df = odd
     monkeypatch.setattr(collocations, "HELD", 20)
+    monkeypatch.setattr(collocations, "WORDS_HELD", 20)
     monkeypatch.setattr(collocations.words_of, "__defaults__", (64,))
     assert found(collocations.collocations(df)) == plain_phrases(rows)
 
