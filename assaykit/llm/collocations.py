@@ -30,7 +30,7 @@ SHARE = 50  # per cent of its occurrences in a longer candidate that make a phra
 SCALE = 1_000_000
 UNKNOWN = "und"
 
-WINDOW = 1 << 21  # bytes of text looked at together
+WINDOW = 1 << 20  # bytes of text looked at together
 HELD = 1 << 18  # entries of a filter that a task holds before it sends them
 WORDS_HELD = 1 << 19
 PLACE_BITS = 27  # the largest bitmap has 2 ** PLACE_BITS bits (16 MB)
@@ -109,29 +109,34 @@ def _by_lang(batches):
 def vocabulary(rows, seed):
     """``(lang, word, hash, n)`` of all words of ``(lang, text)``."""
 
-    def counted(batches):
-        pending, size = [], 0
+    def summed(tables):
+        sums = pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")])
+        return sums.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
-        def summed():
-            table = pa.concat_tables(pending)
-            sums = table.group_by(["lang", "word", "hash"]).aggregate([("n", "sum")])
-            return sums.select(["lang", "word", "hash", "n_sum"]).rename_columns(["lang", "word", "hash", "n"])
+    def named(lang, table):
+        for batch in table.to_batches(max_chunksize=1 << 16):
+            hashes = pa.array(_hashes(batch.column(0), lang, seed).view(np.int64))
+            columns = [pa.repeat(lang, batch.num_rows), batch.column(0), hashes, batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "hash", "n"])
 
+    def counted(batches):
+        pending, size = {}, 0
         for lang, texts in _by_lang(batches):
             for words, _ in words_of(texts):
                 found = words.dictionary
                 counts = np.bincount(words.indices.to_numpy(), minlength=len(found))
-                columns = [pa.repeat(lang, len(found)), found, pa.array(_hashes(found, lang, seed).view(np.int64)), pa.array(counts)]
-                pending.append(pa.table(columns, names=["lang", "word", "hash", "n"]))
+                pending.setdefault(lang, []).append(pa.table([found, pa.array(counts)], names=["word", "n"]))
                 size += len(found)
                 if size >= WORDS_HELD:
-                    pending = [summed()]
-                    size = pending[0].num_rows
+                    pending = {of: [summed(tables)] for of, tables in pending.items()}
+                    size = sum(t[0].num_rows for t in pending.values())
                     if size >= WORDS_HELD // 2:
-                        yield from pending[0].to_batches()
-                        pending, size = [], 0
-        if pending:
-            yield from summed().to_batches()
+                        for of, tables in pending.items():
+                            yield from named(of, tables[0])
+                        pending, size = {}, 0
+        for of, tables in pending.items():
+            yield from named(of, summed(tables))
+        pa.default_memory_pool().release_unused()
 
     counts = rows.mapInArrow(counted, "lang string, word binary, hash long, n long")
     return counts.groupBy("lang", "word").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"))
