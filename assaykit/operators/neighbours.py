@@ -1,4 +1,4 @@
-"""Nearest-neighbour sparsity scores: exact k nearest neighbours by cosine distance."""
+"""Nearest-neighbour sparsity scores by cosine distance: exact, or from a neighbour graph."""
 
 import numpy as np
 import pandas as pd
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.vectors import WIDE_VECTOR, content_key, norm, row_quantile, unit, zero_non_finite
 from assaykit.operators.cells import SLACK, Pivots, cell_join, chunks, squared_distances, stacked, with_home
+from assaykit.operators.neighbour_graph import nearest_in_graph
 from assaykit.operators.rows import canonical, feature_moments
 from assaykit.operators.skew import lookup_join
 from assaykit.session import checkpointed, with_number
@@ -154,7 +155,7 @@ def nearest_distinct(vectors, rows, k, seed=42):
     return _closest(inside.unionByName(outside), k)
 
 
-def knn_scores(df, key, features, k=NEIGHBOURS, n_components=COMPONENTS, seed=42, metric="cosine"):
+def knn_scores(df, key, features, k=NEIGHBOURS, n_components=COMPONENTS, seed=42, metric="cosine", mode="exact", **options):
     """``(row_id, knn_mean_distance, knn_median_distance, score)``.
 
     The score is the mean of half the squared distance (the cosine distance) to the
@@ -162,9 +163,15 @@ def knn_scores(df, key, features, k=NEIGHBOURS, n_components=COMPONENTS, seed=42
     ``n_components`` directions, and scaling to length one.  With ``metric="euclidean"`` it
     is the mean of the distance itself, without that scaling.  Equal rows are compared
     once and counted as often as they occur.
+
+    ``mode="exact"`` compares all pairs that no bound rules out, in wide data without clusters most of them.
+    ``mode="graph"`` finds nearly all neighbours with work per row that does not grow with the table; ``options``
+    are those of ``neighbour_graph``.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric}")
+    if mode not in ("exact", "graph"):
+        raise ValueError(f"unknown mode {mode}")
     rows = canonical(df, key, None, features).withColumn("features", zero_non_finite(F.col("features")))
     total = rows.count()
     if total <= k:
@@ -182,7 +189,8 @@ def knn_scores(df, key, features, k=NEIGHBOURS, n_components=COMPONENTS, seed=42
         standard = _reduced(rows.select(scaled.alias("features")), width, total, n_components)(standard)
     vector = unit(F.col("features"), norm(F.col("features"))) if metric == "cosine" else F.col("features")
     vectors = checkpointed(standard.select("content", "row_id", "copies", vector.alias("vector")))
-    pairs = nearest_distinct(vectors, vectors.count(), k, seed)
+    search = nearest_in_graph if mode == "graph" else nearest_distinct
+    pairs = search(vectors, vectors.count(), k, seed, **options)
     found = pairs.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("squared", "copies"))).alias("found"))
     repeated = F.flatten(
         F.transform(

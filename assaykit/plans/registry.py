@@ -222,6 +222,11 @@ def q_knn_euclidean(spark, folder):
     return rounded(scores, "knn_mean_distance", "knn_median_distance", "score")
 
 
+def q_knn_scores_graph(spark, folder):
+    scores = knn_scores(table(spark, folder, "embeddings"), "vec_id", "embedding", n_components=None, mode="graph")
+    return rounded(scores, "knn_mean_distance", "knn_median_distance", "score")
+
+
 def q_knn_scores_reduced(spark, folder):
     scores = knn_scores(table(spark, folder, "embeddings"), "vec_id", "embedding")
     return rounded(scores, "knn_mean_distance", "knn_median_distance", "score")
