@@ -502,8 +502,8 @@ def q_verify_trigger(spark, folder):
 
 def q_gbt_train(spark, folder):
     orders = labelled_orders(spark, folder)
-    model = train_gbt(orders, "o_orderkey", "label", ORDER_FEATURES, maxIter=10)
-    return rounded(predict(model, orders, ORDER_FEATURES).select("o_orderkey", "label", "probability"), "probability")
+    model = train_gbt(orders, "o_orderkey", "label", ORDER_FEATURES)
+    return rounded(predict(model, orders).select("o_orderkey", "label", "probability"), "probability")
 
 
 def q_scenario_matrix(spark, folder):
@@ -514,7 +514,7 @@ def q_scenario_matrix(spark, folder):
     triggered = perturb.stamp(held.filter(F.col("label") == 1), values)
     found = cross_evaluation(
         checkpointed(training), checkpointed(perturbed), checkpointed(held), checkpointed(triggered),
-        "o_orderkey", "label", ORDER_FEATURES, maxIter=5,
+        "o_orderkey", "label", ORDER_FEATURES,
     )
     return rounded(found.select("scenario", *BINARY, "roc_auc"), *BINARY, "roc_auc")
 

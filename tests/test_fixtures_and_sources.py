@@ -162,9 +162,9 @@ def test_csv_schema_probe(spark, events, tmp_path):
 
 def test_model_round_trip(spark, events, tmp_path):
     signal = events.withColumn("label", (F.col("value") > 40).cast("int"))
-    model = models.train_gbt(signal, "event_id", "label", ["value"], maxIter=3)
-    scored = models.predict(model, signal, ["value"])
+    model = models.train_gbt(signal, "event_id", "label", ["value"], rounds=60, least_rows=20)
+    scored = models.predict(model, signal)
     assert scored.filter((F.col("probability") >= 0.5).cast("int") != F.col("label")).count() < 60
     models.save_model(model, f"{tmp_path}/model")
-    again = models.predict(models.load_model(f"{tmp_path}/missing", f"{tmp_path}/model"), signal, ["value"])
+    again = models.predict(models.load_model(f"{tmp_path}/missing", f"{tmp_path}/model"), signal)
     assert scored.exceptAll(again).isEmpty()
