@@ -11,6 +11,7 @@ from assaykit.functions.scalars import not_nan_or_null
 from assaykit.functions.vectors import row_quantile
 from assaykit.operators.ranking import hash_take
 from assaykit.operators.rows import canonical, column_medians, per_feature_array
+from assaykit.session import checkpointed
 
 # Consistency factor of the S_n scale and the sample it is taken on (fixed values).
 SN_FACTOR = 1.1926
@@ -30,7 +31,7 @@ def sn_of_sample(values):
 def sn_scale(rows, sample=SN_SAMPLE, seed=42):
     """``(pos, sn)`` on the first ``sample`` non-NaN values of each feature in hash order.
 
-    A share of the rows, small at first, is tried until a feature has enough values
+    A share of the rows, small at first, is written and tried until a feature has enough values
     among them; only the features still short look at a larger share, so neither a dense
     table nor a sparse feature makes all cells explode.  The groups handed to pandas hold
     at most ``sample`` values each, whatever the table.
@@ -40,7 +41,7 @@ def sn_scale(rows, sample=SN_SAMPLE, seed=42):
     share = min(1.0, 2.0 * sample / max(1, rows.count()))
     short, parts = list(range(width)), []
     while True:
-        cells = _values(hashed.filter(F.col("_draw") < F.lit(share)), short)
+        cells = checkpointed(_values(hashed.filter(F.col("_draw") < F.lit(share)), short))
         if share == 1.0:
             parts.append(cells)
             break

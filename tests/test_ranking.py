@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaykit.functions.hashing import stable_uniform
-from assaykit.operators import ranking, skew
+from assaykit.operators import quantiles, ranking, skew
 from assaykit.operators.quantiles import exact_quantiles
 
 
@@ -118,3 +118,34 @@ def test_lookup_join_with_hot_key(spark, monkeypatch):
     plain = rows.join(lookup, "k", "left").select(joined.columns)
     assert joined.count() == 3000
     assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+
+
+def test_quantiles_of_large_brackets(spark, monkeypatch):
+    """Brackets of more values than a task orders are cut; ranks stay exact, with ties, groups and lost brackets."""
+    monkeypatch.setattr(quantiles, "SORTED_VALUES", 50)
+    monkeypatch.setattr(quantiles, "CUTS", 7)
+    df = spark.range(30_000).select((F.col("id") % 3).alias("g"), F.sqrt(F.col("id") * 7919 % 10_007).alias("v"))
+    wanted = [0.0, 0.25, 0.5, 0.503, 1.0]
+    for margin in (quantiles.MARGIN, 1e-9):
+        monkeypatch.setattr(quantiles, "MARGIN", margin)
+        found = {r["g"]: r["quantiles"] for r in exact_quantiles(df, "v", wanted, ["g"]).collect()}
+        for g in range(3):
+            values = np.sqrt(np.arange(g, 30_000, 3) * 7919 % 10_007)
+            assert found[g] == pytest.approx(np.quantile(values, wanted), rel=1e-12)
+        assert exact_quantiles(df, "v", wanted).first()[0] == pytest.approx(
+            np.quantile(np.sqrt(np.arange(30_000) * 7919 % 10_007), wanted), rel=1e-12
+        )
+
+
+def test_quantiles_read_twice_without_python(spark, tmp_path):
+    """Two reads of the input, whatever the number of quantiles, and no Python worker."""
+    spark.range(50_000).select((F.col("id") % 2).alias("g"), F.rand(1).alias("v")).write.parquet(str(tmp_path / "t"))
+    plans = []
+    real = quantiles.checkpointed
+    try:
+        quantiles.checkpointed = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df)
+        exact_quantiles(spark.read.parquet(str(tmp_path / "t")), "v", [0.1, 0.5, 0.9], ["g"]).collect()
+    finally:
+        quantiles.checkpointed = real
+    assert sum("FileScan" in p for p in plans) == 2
+    assert not any("Python" in p or "InArrow" in p or "Pandas" in p for p in plans)
