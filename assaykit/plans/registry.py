@@ -238,12 +238,12 @@ def q_isolation_forest(spark, folder):
 
 
 def q_label_consistency(spark, folder):
-    scores = label_consistency(labelled_orders(spark, folder), "o_orderkey", "label", ORDER_FEATURES, depth=5)
+    scores = label_consistency(labelled_orders(spark, folder), "o_orderkey", "label", ORDER_FEATURES)
     return rounded(scores, "score")
 
 
 def q_out_of_fold_accuracy(spark, folder):
-    scores = label_consistency(labelled_orders(spark, folder), "o_orderkey", "label", ORDER_FEATURES, trees=20, depth=5)
+    scores = label_consistency(labelled_orders(spark, folder), "o_orderkey", "label", ORDER_FEATURES)
     return rounded(metrics.label_accuracy(scores, "label", "predicted"), "accuracy")
 
 

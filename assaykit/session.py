@@ -65,14 +65,6 @@ def spread_small(df):
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def spread_by_key(df, key, partitions):
-    """``df`` dealt by a hash of ``key`` and sorted by it: rows lie the same on every machine.
-
-    The draws of Spark ML follow partitions and the order within them.
-    """
-    return df.repartition(partitions, key).sortWithinPartitions(key)
-
-
 def path_exists(name, spark=None):
     """Whether a file or folder of that name exists in its file system."""
     context = (spark or SparkSession.getActiveSession()).sparkContext
