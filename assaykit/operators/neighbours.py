@@ -2,14 +2,13 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaykit.functions.vectors import WIDE_VECTOR, content_key, norm, row_quantile, unit, zero_non_finite
 from assaykit.operators.cells import SLACK, Pivots, cell_join, chunks, squared_distances, stacked, with_home
 from assaykit.operators.neighbour_graph import nearest_in_graph
+from assaykit.operators.principal import principal_directions, projected
 from assaykit.operators.rows import canonical, feature_moments
 from assaykit.operators.skew import lookup_join
 from assaykit.session import checkpointed, with_number
@@ -47,24 +46,17 @@ def standardize(df, key, features):
     return rows.select("row_id", standardizer(rows)[0].alias("features"))
 
 
-def _reduced(rows, width, total, components):
-    """Projection on the leading principal directions when at least two can be kept.
+def _reduced(standard, width, total, components, seed):
+    """``standard`` on its leading principal directions when at least two can be kept.
 
-    The columns are centred already, so these span the space of the leading singular
-    vectors.  The covariance Spark accumulates is width x width.
+    The columns are centred already, so these span the space of the leading singular vectors.
     """
     kept = min(components, total - 1, width - 1)
     if kept < 2:
-        return lambda vectors: vectors
-    model = PCA(k=kept, inputCol="_dense", outputCol="_reduced").fit(
-        rows.select(array_to_vector("features").alias("_dense"))
-    )
-
-    def project(vectors):
-        dense = vectors.withColumn("_dense", array_to_vector("features"))
-        return model.transform(dense).withColumn("features", vector_to_array("_reduced")).drop("_dense", "_reduced")
-
-    return project
+        return standard
+    standard = checkpointed(standard)  # read once per pass
+    directions, _ = principal_directions(standard, "features", "copies", kept, seed)
+    return projected(standard, "features", directions)
 
 
 def _k_nearest(k, one_side):
@@ -186,7 +178,7 @@ def knn_scores(df, key, features, k=NEIGHBOURS, n_components=COMPONENTS, seed=42
     )
     standard = with_number(distinct, "first_id").withColumn("features", scaled)
     if n_components is not None:
-        standard = _reduced(rows.select(scaled.alias("features")), width, total, n_components)(standard)
+        standard = _reduced(standard, width, total, n_components, seed)
     vector = unit(F.col("features"), norm(F.col("features"))) if metric == "cosine" else F.col("features")
     vectors = checkpointed(standard.select("content", "row_id", "copies", vector.alias("vector")))
     search = nearest_in_graph if mode == "graph" else nearest_distinct
