@@ -110,11 +110,10 @@ def score_counts(df, label, score):
     )
 
 
-def ranked_counts(df, label, score):
+def ranked_counts(df, label, score, following=()):
     """Counts per distinct score with the totals at and above it: ``tp`` and ``fp``."""
-    return running_totals(
-        score_counts(df, label, score), "score", {"positives": "tp", "negatives": "fp"}, ascending=False
-    )
+    totals = {"positives": "tp", "negatives": "fp"}
+    return running_totals(score_counts(df, label, score), "score", totals, ascending=False, following=following)
 
 
 def _ranking_sums():
@@ -145,9 +144,13 @@ def roc_curve(df, label, score, drop_collinear=True):
     ``drop_collinear`` leaves out points on a straight line: those whose next distinct
     score adds the same counts as they did themselves.  The highest score stays.
     """
-    ranked = ranked_counts(df, label, score)
     if drop_collinear:
-        ranked = _corners(ranked)
+        counts = ranked_counts(df, label, score, following=("positives", "negatives"))
+        straight = (F.col("positives") == F.col("next_positives")) & (F.col("negatives") == F.col("next_negatives"))
+        highest = F.col("tp") + F.col("fp") == F.col("positives") + F.col("negatives")
+        ranked = counts.filter(highest | F.coalesce(~straight, F.lit(True)))
+    else:
+        ranked = ranked_counts(df, label, score)
     totals = ranked.agg(F.struct(F.max("tp").alias("p"), F.max("fp").alias("n"))).scalar()
     points = ranked.withColumn("_t", totals).select(
         F.col("score").alias("threshold"),
@@ -160,23 +163,6 @@ def roc_curve(df, label, score, drop_collinear=True):
     return start.unionByName(points)
 
 
-def _corners(ranked):
-    """Points where the step to the next lower score differs from the step before.
-
-    The following score is found by numbering the distinct scores, so that a
-    neighbour in another range is seen as well.
-    """
-    numbered = running_totals(ranked.withColumn("_one", F.lit(1)), "score", {"_one": "_place"}, ascending=False)
-    following = numbered.select(
-        (F.col("_place") - 1).alias("_place"),
-        F.col("positives").alias("_next_positives"),
-        F.col("negatives").alias("_next_negatives"),
-    )
-    straight = (F.col("positives") == F.col("_next_positives")) & (F.col("negatives") == F.col("_next_negatives"))
-    kept = (F.col("_place") == 1) | F.coalesce(~straight, F.lit(True))
-    return numbered.join(following, "_place", "left").filter(kept).select(*ranked.columns)
-
-
 def pr_curve(df, label, score):
     """``(threshold, precision, recall)`` per distinct score, ending with (null, 1, 0)."""
     ranked = ranked_counts(df, label, score)

@@ -125,11 +125,12 @@ def csv_positions(df, index="row_idx"):
     return df.withColumn("data_row", F.col(index) + 1).withColumn("csv_row", F.col(index) + 2)
 
 
-def running_totals(df, order, totals, ascending=True):
+def running_totals(df, order, totals, ascending=True, following=()):
     """Inclusive running sums of ``totals`` (name -> output name) along a unique ``order`` value.
 
     The order values are cut into ranges at their approximate quantiles; each range is
-    summed on its own and shifted by the total of the ranges before it.
+    summed on its own and shifted by the total of the ranges before it.  For each column of ``following`` the
+    next row's value is added as ``next_<column>``, null at the end.
     """
     ranges = 2 * max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
@@ -140,14 +141,19 @@ def running_totals(df, order, totals, ascending=True):
     direction = F.col("_range").asc() if ascending else F.col("_range").desc()
     before = Window.orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
     # At most ``ranges`` rows.
-    shifts = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])
+    first = F.min_by if ascending else F.max_by
+    shifts = ranged.groupBy("_range").agg(
+        *[F.sum(c).alias(f"_sum_{c}") for c in totals], *[first(c, order).alias(f"_first_{c}") for c in following]
+    )
+    after = Window.orderBy(direction)
     shifts = shifts.select(
-        F.col("_range"), *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_shift_{c}") for c in totals]
+        F.col("_range"),
+        *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_shift_{c}") for c in totals],
+        *[F.lead(f"_first_{c}").over(after).alias(f"_next_{c}") for c in following],
     )
     along = Window.partitionBy("_range").orderBy(F.col(order).asc() if ascending else F.col(order).desc())
+    following = {f"next_{c}": F.coalesce(F.lead(c).over(along), F.col(f"_next_{c}")) for c in following}
     along = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        ranged.join(F.broadcast(shifts), "_range")
-        .withColumns({out: F.col(f"_shift_{c}") + F.sum(c).over(along) for c, out in totals.items()})
-        .select(*df.columns, *totals.values())
-    )
+    sums = {out: F.col(f"_shift_{c}") + F.sum(c).over(along) for c, out in totals.items()}
+    found = ranged.join(F.broadcast(shifts), "_range").withColumns({**sums, **following})
+    return found.select(*df.columns, *sums, *following)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.functions.scalars import is_finite
+from assaykit.functions.scalars import is_finite, not_nan_or_null
 from assaykit.functions.vectors import feature_array, impute
 from assaykit.operators.quantiles import exact_median
 
@@ -101,10 +101,21 @@ def feature_moments(rows):
     )
 
 
+def _per_column(df, features, aggregates):
+    """``(feature, aggregates...)`` of the numeric columns, one grouping however many there are.
+
+    ``aggregates`` maps names to aggregates of ``value``.  Without rows a column still has its row.
+    """
+    cells = df.select(F.posexplode(F.array(*[F.col(f"`{f}`").cast("double") for f in features])).alias("pos", "value"))
+    found = cells.groupBy("pos").agg(*[a.alias(n) for n, a in aggregates.items()])
+    names = df.sparkSession.createDataFrame(list(enumerate(features)), "pos int, feature string")
+    return names.join(found, "pos", "left").select("feature", *aggregates)
+
+
 def invalid_cells(df, features):
     """Non-finite cells per feature, as ``(feature, invalid)``."""
-    counts = df.agg(*[F.count_if(~is_finite(f"`{f}`")).alias(f) for f in features])
-    return counts.unpivot([], list(features), "feature", "invalid")
+    counts = _per_column(df, list(features), {"invalid": F.count_if(~is_finite("value"))})
+    return counts.withColumn("invalid", F.coalesce("invalid", F.lit(0).cast("bigint")))
 
 
 def constant_features(df, features, tolerance=1e-12):
@@ -113,17 +124,9 @@ def constant_features(df, features, tolerance=1e-12):
     A feature has at most one distinct value exactly when its smallest and largest
     value agree, which needs no distinct count.
     """
-    parts = []
-    for f in features:
-        x = F.col(f"`{f}`").cast("double")
-        parts.append(
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.var_pop(x).alias("variance"),
-                F.coalesce(F.min(x) == F.max(x), F.lit(True)).alias("single_valued"),
-            )
-        )
-    stats = df.agg(F.array(*parts).alias("_s")).select(F.inline("_s"))
+    same = F.min("value") == F.max("value")
+    stats = _per_column(df, list(features), {"variance": F.var_pop("value"), "single_valued": same})
+    stats = stats.withColumn("single_valued", F.coalesce("single_valued", F.lit(True)))
     return stats.withColumn("low_variance", F.coalesce(F.col("variance") <= F.lit(tolerance), F.lit(True)))
 
 
@@ -161,17 +164,12 @@ def removal_summary(df, score, threshold=SUSPICION_THRESHOLD):
 
 def feature_describe(df, features):
     """A row per feature: present values, mean, sample deviation and extremes.  NaN counts as missing."""
-
-    def described(name):
-        value = F.col(f"`{name}`").cast("double")
-        value = F.when(~F.isnan(value), value)
-        return F.struct(
-            F.lit(name).alias("feature"),
-            F.count(value).alias("n_values"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("low"),
-            F.max(value).alias("high"),
-        )
-
-    return df.agg(F.array(*[described(f) for f in features]).alias("found")).select(F.inline("found"))
+    value = not_nan_or_null("value")
+    described = {
+        "n_values": F.count(value),
+        "mean": F.avg(value),
+        "std": F.stddev_samp(value),
+        "low": F.min(value),
+        "high": F.max(value),
+    }
+    return _per_column(df, list(features), described).withColumn("n_values", F.coalesce("n_values", F.lit(0).cast("bigint")))

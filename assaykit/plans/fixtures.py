@@ -1,21 +1,24 @@
 """Perturbed training tables and triggered evaluation sets."""
 
+from pyspark.sql import Observation
+
 from assaykit.operators.perturb import (
     collected_values,
     perturb_rows,
+    perturbation_counts,
     perturbation_manifest,
-    perturbation_summary,
     require_verified,
     sample_class_rows,
     stamp,
+    summary_of_counts,
     trigger_columns,
     trigger_record,
     trigger_values,
-    verify_perturbation,
     verify_trigger,
 )
 from assaykit.operators.ranking import row_index
 from assaykit.operators.rows import require_class
+from assaykit.session import checkpointed
 from assaykit.sources.tables import write_csv, write_manifest
 from assaykit.sources.triggers import write_json
 
@@ -33,18 +36,26 @@ def build_perturbed(
     """Write the perturbed table, manifest, trigger and summary below ``folder``; return the table.
 
     The table is written in the order of ``key``, which may be of any type; the manifest's
-    ``row_idx`` is the place in it and its ``sample_id`` comes from ``id_column``, else from the place.
+    ``row_idx`` is the place in it and its ``sample_id`` comes from ``id_column``, else from the place.  Stamps and labels
+    are verified, and the summary is counted, in the one pass that makes the rows; nothing appears in ``folder`` before
+    the counts are found right.
     """
     require_class(df, label, positive)
     values = build_trigger(df, features, size, mode, seed)
     numbered = row_index(df, [key], name="_row_idx")
     perturbed = perturb_rows(numbered, label, key, values, rate, seed, positive)
-    require_verified(verify_perturbation(perturbed, label, values), "stamp_failures", "label_failures").collect()
-    write_csv(perturbed.drop("perturbed", "original_label", "_row_idx"), f"{folder}/perturbed")
-    write_manifest(perturbation_manifest(perturbed, label, values, "_row_idx", id_column), f"{folder}/manifest")
+    seen = Observation()
+    counted = [a.alias(n) for n, a in perturbation_counts(label, values, positive=positive).items()]
+    made = checkpointed(perturbed.observe(seen, *counted))
+    counts = seen.get
+    if counts["stamp_failures"] or counts["label_failures"]:
+        raise ValueError(f"the fixture failed its verification: {counts}")
+    write_csv(made.drop("perturbed", "original_label", "_row_idx"), f"{folder}/perturbed")
+    write_manifest(perturbation_manifest(made, label, values, "_row_idx", id_column), f"{folder}/manifest")
     write_json(trigger_record(df.sparkSession, list(values), values, mode, seed), f"{folder}/trigger")
-    write_json(perturbation_summary(perturbed, rate, positive), f"{folder}/summary")
-    return perturbed.drop("_row_idx")
+    totals = df.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{n} bigint" for n in counts))
+    write_json(summary_of_counts(totals, rate), f"{folder}/summary")
+    return made.drop("_row_idx")
 
 
 def build_triggered_set(df, label, key, values, n, seed=42, positive=1):

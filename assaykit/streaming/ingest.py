@@ -3,14 +3,19 @@
 from pyspark.sql import functions as F
 
 from assaykit.operators.perturb import hash_selected
+from assaykit.sources.ledger import below, decoded
 
 
 def csv_stream(spark, folder, schema, files_per_batch=None):
-    """A stream over the CSV files of a folder; each file is read once."""
+    """A stream over the CSV files of a folder; each file is read once.
+
+    ``source_file`` is a file's path below the folder, so equal names in two folders stay apart.
+    """
     reader = spark.readStream.schema(schema).option("header", True).option("pathGlobFilter", "*.csv")
+    reader = reader.option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.csv(folder).withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    return reader.csv(folder).withColumn("source_file", below(spark, folder, decoded(F.col("_metadata.file_path"))))
 
 
 def ingest_available(spark, folder, target, state, schema, transform=None, files_per_batch=None):
@@ -33,7 +38,7 @@ def ingest_available(spark, folder, target, state, schema, transform=None, files
     return spark.read.parquet(target)
 
 
-def perturbation_counts(stream, label, key, rate, seed=42, positive=1):
+def running_selection(stream, label, key, rate, seed=42, positive=1):
     """Running counts of class and selected rows; the state is one row per label."""
     return stream.groupBy(label).agg(
         F.count(F.lit(1)).alias("n_rows"),

@@ -186,3 +186,24 @@ def test_forest_draws_exactly_and_by_one_rule(spark):
         assert len(counts) == trees and (counts == min(rows, sample)).all(axis=None)
         # Trees draw independently, also in a large table: some row is in two of them.
         assert drawn["row_id"].duplicated().any()
+
+
+def test_five_thousand_columns(spark):
+    """Statistics per column of a wide table come from one grouping."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 5000))
+    x[:, 7], x[3, 9], x[4, 9], x[:, 11] = 2.5, NAN, INF, NAN
+    names = [f"f{i}" for i in range(5000)]
+    wide = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
+    wide = wide.select(*[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    invalid = rows.invalid_cells(wide, names).toPandas().set_index("feature")["invalid"]
+    assert (invalid.loc[names].to_numpy() == (~np.isfinite(x)).sum(axis=0)).all()
+    constant = rows.constant_features(wide, names).toPandas().set_index("feature").loc[names]
+    fine = np.isfinite(x).all(axis=0)
+    assert np.abs(constant["variance"].to_numpy()[fine] - x[:, fine].var(axis=0)).max() < 1e-12
+    assert constant["single_valued"].to_numpy()[fine].nonzero()[0].tolist() == [7] and constant["low_variance"].iloc[7]
+    told = rows.feature_describe(wide, names).toPandas().set_index("feature").loc[names]
+    assert told["n_values"].iloc[[9, 11]].tolist() == [39, 0] and math.isnan(told["mean"].iloc[11])
+    assert np.abs(told["std"].to_numpy()[fine] - x[:, fine].std(axis=0, ddof=1)).max() < 1e-12
+    assert (told["low"].to_numpy()[fine] == x[:, fine].min(axis=0)).all()
+    assert rows.invalid_cells(wide.limit(0), names[:3]).collect() == [("f0", 0), ("f1", 0), ("f2", 0)]

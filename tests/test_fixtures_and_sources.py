@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaykit.operators import models, perturb
+from assaykit.plans import fixtures
 from assaykit.plans.fixtures import build_perturbed, build_triggered_set
-from assaykit.plans.scan import scan_job
+from assaykit.plans.scan import numbered_csv, scan_job
 from assaykit.plans.tables import labelled_events
 from assaykit.sources import tables, triggers
-from assaykit.streaming.ingest import ingest_available
+from assaykit.streaming.ingest import csv_stream, ingest_available, running_selection
 
 
 @pytest.fixture(scope="module")
@@ -168,3 +169,68 @@ def test_model_round_trip(spark, events, tmp_path):
     models.save_model(model, f"{tmp_path}/model")
     again = models.predict(models.load_model(f"{tmp_path}/missing", f"{tmp_path}/model"), signal)
     assert scored.exceptAll(again).isEmpty()
+
+
+def test_verification_comes_before_any_output(spark, events, tmp_path, monkeypatch):
+    """The rows are made once; a stamp that is not as ordered leaves nothing behind."""
+    made = []
+    real = fixtures.checkpointed
+    monkeypatch.setattr(fixtures, "checkpointed", lambda df: made.append(1) or real(df))
+    build_perturbed(events, "label", "event_id", ["value", "user_id"], 2, 0.2, f"{tmp_path}/good")
+    assert made == [1] and len(os.listdir(tmp_path / "good")) == 4
+    good = fixtures.perturb_rows
+    monkeypatch.setattr(fixtures, "perturb_rows", lambda *a: good(*a).withColumn("value", F.col("value") + 1))
+    with pytest.raises(ValueError, match="verification"):
+        build_perturbed(events, "label", "event_id", ["value", "user_id"], 2, 0.2, f"{tmp_path}/bad")
+    assert not os.path.exists(tmp_path / "bad")
+
+
+def test_summary_equals_the_counted_one(spark, events, tmp_path):
+    perturbed = build_perturbed(events, "label", "event_id", ["value"], 1, 0.3, str(tmp_path))
+    told = spark.read.json(f"{tmp_path}/summary").first().asDict()
+    assert told == perturb.perturbation_summary(perturbed, 0.3).first().asDict()
+
+
+def test_numbers_in_file_order(spark, tmp_path):
+    """Files of several splits, an empty one, names in order; no row is moved for it."""
+    os.mkdir(tmp_path / "raw")
+    want = []
+    for name, rows in (("a", 5000), ("b c", 1), ("b", 0), ("d", 3000)):
+        lines = [f"{name}{i},{i}" for i in range(rows)]
+        (tmp_path / "raw" / f"{name}.csv").write_text("\n".join(["x,y", *lines]) + "\n")
+    for name, rows in (("a", 5000), ("b c", 1), ("d", 3000)):
+        want += [f"{name}{i}" for i in range(rows)]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for part in ("4k", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+            numbered = numbered_csv(tables.read_csv(spark, f"{tmp_path}/raw", "x string, y int"), "n")
+            assert [r.x for r in numbered.orderBy("n").collect()] == want
+            assert [r.n for r in numbered.orderBy("n").select("n").collect()] == list(range(len(want)))
+            plan = numbered._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan.replace("BroadcastExchange", "") and "Sort" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_stream_tells_equal_names_apart(spark, tmp_path):
+    for folder, row in (("dt=1", "1,1"), ("dt=2/x y+%", "2,2")):
+        os.makedirs(tmp_path / "raw" / folder)
+        (tmp_path / "raw" / folder / "a.csv").write_text(f"id,x\n{row}\n")
+    got = ingest_available(spark, f"{tmp_path}/raw", f"{tmp_path}/t", f"{tmp_path}/s", "id bigint, x double")
+    assert {r["id"]: r["source_file"] for r in got.collect()} == {1: "dt=1/a.csv", 2: "dt=2/x y+%/a.csv"}
+
+
+def test_running_selection(spark, events, tmp_path):
+    """Counts of a stream equal those of the table, and go on with files that come later."""
+    rows = events.select("event_id", "label").orderBy("event_id").collect()
+    for part in range(2):
+        with open(f"{tmp_path}/{part}.csv", "w") as f:
+            f.write("event_id,label\n" + "".join(f"{r[0]},{r[1]}\n" for r in rows[part::2]))
+    stream = csv_stream(spark, str(tmp_path), "event_id bigint, label int", files_per_batch=1)
+    query = running_selection(stream, "label", "event_id", 0.2).writeStream.format("memory").queryName("counted").outputMode("complete")
+    query.trigger(availableNow=True).start().awaitTermination()
+    plain = events.groupBy("label").agg(
+        F.count("*").alias("n_rows"), F.count_if(perturb.hash_selected("label", "event_id", 0.2)).alias("selected_rows")
+    )
+    assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, plain.collect()))
