@@ -1,10 +1,12 @@
 """Shared pieces: the fold rule, joins by checked size, and pair comparison in bounded blocks."""
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from assaykit.session import checkpointed
+from assaykit.session import checkpointed, ensure_checkpoint_dir
 
 # A lookup table is broadcast below this many narrow rows, and joined by shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
@@ -20,6 +22,39 @@ def held_out(key="doc_id"):
     return F.crc32(text.cast("binary")) % 5 == 0
 
 
+def stored(df):
+    """``df`` written once as Parquet beside the checkpoints: a fraction of a checkpoint's size where rows are many."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def hash_bitmap(hashes, column, size, most=27):
+    """``(bytes, shift)``: a bitmap of the leading bits of 64-bit hashes, at most ``2 ** most`` bits (16 MB).
+
+    ``marked`` tells of a hash whether it may be among them; a small bitmap says so too often, never too rarely.
+    """
+    bits = min(most, max(15, (16 * size).bit_length()))
+    at = F.shiftrightunsigned(column, 64 - bits) + 1
+    blocks = hashes.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("marks")
+    )
+    whole = bytearray(1 << (bits - 3))
+    for row in blocks.collect():  # 4,096 blocks of 4 KB at most
+        start = (row["block"] - 1) * len(row["marks"])
+        whole[start : start + len(row["marks"])] = row["marks"]
+    return bytes(whole), 64 - bits
+
+
+def marked(bitmap, hashes):
+    """Which of the hashes, a numpy array, the bitmap may hold."""
+    data, shift = bitmap
+    places = (hashes.view(np.uint64) >> np.uint64(shift)).astype(np.int64)
+    return np.frombuffer(data, np.uint8)[places >> 3] >> (places & 7).astype(np.uint8) & 1 == 1
+
+
 def checked_broadcast(df, most=BROADCAST_ROWS, entries=None):
     """``df`` written once, with a broadcast hint only if it has at most ``most`` rows.
 

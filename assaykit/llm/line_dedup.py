@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import checked_broadcast, hot_lookup
+from assaykit.llm.common import checked_broadcast, hash_bitmap, hot_lookup, marked, stored
 from assaykit.session import checkpointed
 
 MIN_WORDS = 5
@@ -123,7 +123,7 @@ def passages(text, known, cache, span=SPAN, gram=GRAM):
 def passage_table(documents, key="doc_id", text="text"):
     """``(doc_id, text_key, start, end, digest)`` of the runs of words that may be repeats, of the first copy of a text."""
 
-    def marked(batches):
+    def anchored(batches):
         cache = {}
         for batch in batches:
             found = []
@@ -150,7 +150,7 @@ def passage_table(documents, key="doc_id", text="text"):
     copies = rows.groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = rows.join(checked_broadcast(copies), "text_key", "left").filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("head.doc_id")))
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "text_key"))
-    seen = checkpointed(rows.select("uid", "text").mapInArrow(marked, "uid long, anchor long"))
+    seen = checkpointed(rows.select("uid", "text").mapInArrow(anchored, "uid long, anchor long"))
     counts = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     known = hot_lookup(seen, counts, ["anchor"], "n", how="inner").groupBy("uid").agg(F.collect_set("anchor").alias("known"))
     tried = rows.join(checked_broadcast(known, entries=F.size("known")), "uid").select("doc_id", "text_key", "text", "known")
@@ -182,9 +182,28 @@ def unit_table(documents, key="doc_id", text="text", least=MIN_WORDS):
     return rows.mapInArrow(cut, "doc_id long, text_key long, start int, end int, digest binary")
 
 
+def repeated(rows):
+    """The units whose digest occurs more than once, and few others.
+
+    Hashes of the digests are counted first, eight bytes a unit; a bitmap of those that repeat tells
+    which units go on, so most units are never shuffled.
+    """
+    several = rows.groupBy(F.xxhash64("digest").alias("mark")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = checkpointed(several.select("mark"))
+    bitmap = rows.sparkSession.sparkContext.broadcast(hash_bitmap(several, "mark", several.count()))
+
+    def kept(batches):
+        for batch in batches:
+            hashes = batch.column(batch.num_columns - 1).to_numpy()
+            yield batch.filter(pa.array(marked(bitmap.value, hashes)))
+
+    hashed = rows.withColumn("mark", F.xxhash64("digest"))
+    return hashed.mapInArrow(kept, hashed.schema).drop("mark")
+
+
 def repeats(documents, key="doc_id", text="text", least=MIN_WORDS):
     """``(doc_id, text_key, start, end, first_doc_id, copies)``: every unit that is not the first of its digest."""
-    rows = checkpointed(unit_table(documents, key, text, least).unionByName(passage_table(documents, key, text)))
+    rows = repeated(stored(unit_table(documents, key, text, least).unionByName(passage_table(documents, key, text))))
     groups = rows.groupBy("digest").agg(
         F.min(F.struct("doc_id", "text_key", "start", "end")).alias("first"), F.count(F.lit(1)).alias("copies")
     )

@@ -56,11 +56,11 @@ def op4_toxicity(spark, folder):
 
 def op5_line_dedup(spark, folder):
     documents = read(spark, folder, "documents").select("doc_id", "text")
-    removed = line_dedup.deduplicated(documents)
+    removed = line_dedup.deduplicated(documents).toDF("of_id", "of_text", "removed", "first_doc_id")
     lengths = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars")
-    joined = documents.select("doc_id", F.xxhash64("text").alias("text_key"), lengths).join(
-        removed, ["doc_id", "text_key"], "left"
-    )
+    keyed = documents.select("doc_id", F.xxhash64("text").alias("text_key"), lengths)
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_text"))
+    joined = keyed.join(removed, same, "left")
     spans = F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>"))
     one = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
     gone = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

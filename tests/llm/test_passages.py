@@ -3,7 +3,7 @@
 import random
 import re
 
-from assaykit.llm import line_dedup
+from assaykit.llm import common, line_dedup, queries
 
 
 def repeated_words(texts, span=50):
@@ -48,3 +48,40 @@ def test_scripts_without_blanks(spark):
     df = spark.createDataFrame([(1, f"{line}。甲乙"), (2, f"丙丁\n{line}。戊")], "doc_id long, text string")
     got = {r.doc_id: [(s["start"], s["end"]) for s in r.removed] for r in line_dedup.deduplicated(df).collect()}
     assert got == {2: [(3, 16)]}
+
+
+def test_query_columns(spark, tmp_path):
+    """All six columns; rows without an id, repeated rows, null and empty texts."""
+    line = "this line is long enough to count"
+    rows = [(None, f"{line}\nand more"), (1, f"x {line}"), (2, f"{line}\nown"), (None, f"a\n{line}"), (3, None), (4, ""), (2, f"{line}\nown")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(str, queries.op5_line_dedup(spark, str(tmp_path)).collect()))
+    texts = {text for _, text in rows}
+    first = min((r for r in rows if r[0] is None), key=lambda r: key_of(spark, r[1]))
+    want = []
+    for doc, text in rows:
+        chars, spans = len(text or ""), []
+        if text and line in text.split("\n") and (doc, text) != first:
+            spans = [(text.index(line), text.index(line) + len(line))]
+        gone = sum(b - a for a, b in spans)
+        shown = ",".join(f"{a}:{b}" for a, b in spans)
+        want.append((doc, len(spans), gone, shown, None, chars - gone))
+    names = ["doc_id", "n_removed", "removed_chars", "removed_spans", "first_doc_id", "kept_chars"]
+    frame = spark.createDataFrame(want, "doc_id long, n_removed long, removed_chars long, removed_spans string, first_doc_id long, kept_chars long")
+    assert got == sorted(map(str, frame.select(names).collect())) and len(texts) == 6
+
+
+def key_of(spark, text):
+    from pyspark.sql import functions as F
+
+    return spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
+
+
+def test_few_marks_let_more_pass(spark, monkeypatch):
+    """A bitmap too small for the corpus costs time only."""
+    texts = [f"sentence number {i} goes on here. shared line of five words {i % 40}." for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = sorted(map(str, line_dedup.deduplicated(df).collect()))
+    real = common.hash_bitmap
+    monkeypatch.setattr(line_dedup, "hash_bitmap", lambda hashes, column, size: (b"\xff" * 4096, 49) if real(hashes, column, size) else None)
+    assert len(plain) == 260 and sorted(map(str, line_dedup.deduplicated(df).collect())) == plain
