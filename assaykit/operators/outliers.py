@@ -84,7 +84,11 @@ def statistical_outlier_scores(df, key, features, label=None, include_label=Fals
     rows = canonical(df, key, None, names)
     medians = per_feature_array(column_medians(rows), "median", "medians")
     scales = per_feature_array(sn_scale(rows, sample, seed), "sn", "scales")
-    centred = rows.withColumns({"medians": medians, "scales": scales})
+    return deviation_scores(rows.withColumns({"medians": medians, "scales": scales}), quantile)
+
+
+def deviation_scores(centred, quantile=ROW_QUANTILE):
+    """``(row_id, score)`` of rows with their ``features`` and the arrays ``medians`` and ``scales``."""
     deviations = F.transform(
         F.zip_with("features", F.arrays_zip("medians", "scales"), _deviation),
         lambda d: F.when(d.isNull() | F.isnan(d), F.lit(0.0)).otherwise(d),

@@ -310,10 +310,12 @@ def oracle_sql():
       {_r('100e0 * count(*) FILTER (score > 0.45e0) / count(*)', 'removed_percentage')},
       {_r('100e0 * count(*) FILTER (score <= 0.45e0) / count(*)', 'retained_percentage')} FROM comb"""
     found["clean_filter"] = combined + "SELECT row_id FROM comb WHERE score <= 0.45e0"
-    found["scan_clean_core"] = f"""WITH {COMBINED.replace(DUPLICATES, DUPLICATES.replace(
+    both_features = f"""WITH {COMBINED.replace(DUPLICATES, DUPLICATES.replace(
         "PARTITION BY CAST(CASE WHEN value IN (1e0, -1e0) THEN 0e0 ELSE value END AS FLOAT)",
-        "PARTITION BY CAST(CASE WHEN value IN (1e0, -1e0) THEN 0e0 ELSE value END AS FLOAT), CASE WHEN user_id = 1 THEN 0 ELSE user_id END"))}
-      SELECT e.* FROM events e JOIN comb ON e.event_id = comb.row_id WHERE score <= 0.45e0"""
+        "PARTITION BY CAST(CASE WHEN value IN (1e0, -1e0) THEN 0e0 ELSE value END AS FLOAT), CASE WHEN user_id = 1 THEN 0 ELSE user_id END"))} """
+    found["scan_clean_core"] = both_features + "SELECT e.* FROM events e JOIN comb ON e.event_id = comb.row_id WHERE score <= 0.45e0"
+    found["scan_fitted"] = both_features + f"""SELECT row_id, {_r('score', 'score')}, n_detectors,
+      {_r('duplicate', 'duplicate')}, {_r('statistical', 'statistical')} FROM comb"""
     found["scan_job"] = found["scan_clean_core"].replace("SELECT e.*", "SELECT e.event_id, e.user_id, e.event_type, e.value")
     found["feature_describe"] = " UNION ALL ".join(
         f"""SELECT '{c}' AS feature, count({c}) AS n_values, {_r(f'avg({c})', 'mean')}, {_r(f'stddev_samp({c})', 'std')},

@@ -24,6 +24,7 @@ from assaykit.operators.neighbours import knn_scores, standardize
 from assaykit.operators.outliers import sn_scale, statistical_outlier_scores
 from assaykit.operators.skew import lookup_join
 from assaykit.plans.evaluation import cross_evaluation
+from assaykit.plans.fitted import fit_scan, load_scan, score_new
 from assaykit.plans.scan import scan_and_clean, scan_job, scan_scores
 from assaykit.plans.tables import (
     LINEITEM_FEATURES,
@@ -290,6 +291,16 @@ def q_scan_clean_core(spark, folder):
     return scan_and_clean(events, "event_id", "event_type", EVENT_FEATURES, CORE_DETECTORS)
 
 
+def q_scan_fitted(spark, folder):
+    """A state fitted on the events, kept, read again, and asked for the scores of the same rows."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/state-{uuid.uuid4().hex}"
+    events = table(spark, folder, "events")
+    fit_scan(events, "event_id", "event_type", EVENT_FEATURES, path, CORE_DETECTORS)
+    scores = score_new(events, "event_id", load_scan(spark, path), members=True)
+    return rounded(scores, "score", *CORE_DETECTORS)
+
+
 def q_scan_job(spark, folder):
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/scan-{uuid.uuid4().hex}"
