@@ -424,4 +424,5 @@ def oracle_sql():
     ingested = "SELECT event_id, user_id, event_type, value FROM events"
     found["incremental_ingest"] = ingested
     found["stream_ingest"] = ingested
+    found["near_duplicate_index"] = found["connected_components"]
     return found

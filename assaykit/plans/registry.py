@@ -8,6 +8,7 @@ from assaykit.functions.hashing import stable_uniform
 from assaykit.functions.scalars import finite_or_null
 from assaykit.functions.vectors import feature_array, impute, mask_indicators
 from assaykit.operators import combine, metrics, perturb, ranking, rows
+from assaykit.operators.band_index import BandIndex
 from assaykit.operators.components import connected_components
 from assaykit.operators.exact_duplicates import duplicate_summary, exact_duplicate_groups, exact_duplicate_scores
 from assaykit.operators.forest import isolation_forest_scores
@@ -198,6 +199,19 @@ def q_near_duplicate_clusters(spark, folder):
     return rounded(clusters.withColumn("pairs", F.col("pairs").cast("bigint")), "avg_similarity")
 
 
+def q_near_duplicate_index(spark, folder):
+    """The labelled documents are indexed first, all others are added to them.
+
+    Bands of 16 bits leave a pair just at the threshold unfound once in a million.
+    """
+    ensure_checkpoint_dir(spark)
+    index = BandIndex(spark, f"{spark.sparkContext.getCheckpointDir()}/bands-{uuid.uuid4().hex}", bits=16)
+    documents = _documents(spark, folder)
+    for batch in (documents.filter("quality >= 0"), documents.filter("quality < 0")):
+        index.extend(batch, "doc_id", "features")
+    return index.clusters().select(F.col("key").alias("node"), "component")
+
+
 def q_lsh_bands(spark, folder):
     vectors = prepared_vectors(labelled_documents(spark, folder), "doc_id", "quality", "features")
     return lsh_bands(vectors, TOKEN_BUCKETS)
