@@ -47,6 +47,11 @@ PARTS = 32  # parts in which entries are ranked first
 PLACES = 1_000_000  # places of n-grams handled at once
 CACHE = 200_000  # backed-off words remembered per task
 UNKNOWN = "und"
+FAMILIAR = 3  # characters of an n-gram that make a place of a word familiar
+SAMPLE = 5000  # texts of a language that tell what familiarity is usual
+LONG = 20  # words of a text whose familiarity hardly varies by chance
+DEVIATIONS = 5.0
+LEAST_DEVIATION = 0.02
 
 
 def word_counts(documents, lang="lang", text="text"):
@@ -168,43 +173,57 @@ def fit(documents, lang="lang", text="text", words=WORDS, grams=GRAMS, order=ORD
 
 
 def backed_off(word, model):
-    """The score row of an unseen word: mean over places of the longest known n-gram."""
+    """The score row of an unseen word, the mean over places of the longest known n-gram, and the share of
+    places where that has ``FAMILIAR`` characters or reaches to the end."""
     index, table, order = model["index"], model["table"], model["order"]
     padded = f" {word} "
-    rows = []
+    rows, familiar = [], 0
     for i in range(len(padded)):
         for k in range(min(order, len(padded) - i), 0, -1):
             row = index.get("\0" + padded[i : i + k])
             if row is not None:
                 rows.append(row)
+                familiar += k >= min(FAMILIAR, len(padded) - i)
                 break
-    return table[rows].mean(axis=0, dtype=np.float64) if rows else np.zeros(table.shape[1])
+    scores = table[rows].mean(axis=0, dtype=np.float64) if rows else np.zeros(table.shape[1])
+    return scores, familiar / len(padded)
 
 
-def posterior(text, model, cache):
-    """``(language, probability)`` of a text; ``cache`` remembers backed-off words."""
+def judged(text, model, cache):
+    """``(language, probability, familiar, words)`` of a text; ``cache`` remembers backed-off words.
+
+    ``familiar`` is the mean over words of 1 for known ones and of the share of familiar places for others.
+    """
     words = TOKEN.findall(text.lower()) if text else []
     if not model["languages"] or not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, 0.0, 0
     index, table = model["index"], model["table"]
     counts = Counter(words)
-    known, times, total = [], [], np.zeros(table.shape[1], np.float64)
+    known, times, total, familiar = [], [], np.zeros(table.shape[1], np.float64), 0.0
     for word, n in counts.items():
         row = index.get(word)
         if row is not None:
             known.append(row)
             times.append(n)
+            familiar += n
             continue
-        scores = cache.get(word)
-        if scores is None:
+        found = cache.get(word)
+        if found is None:
             if len(cache) >= CACHE:
                 cache.clear()
-            scores = cache[word] = backed_off(word, model)
-        total += n * scores
+            found = cache[word] = backed_off(word, model)
+        total += n * found[0]
+        familiar += n * found[1]
     if known:
         total += np.array(times, np.float64) @ table[known].astype(np.float64)
     best = int(total.argmax())
-    return model["languages"][best], float(1 / np.exp(total - total[best]).sum())
+    probability = float(1 / np.exp(total - total[best]).sum())
+    return model["languages"][best], probability, familiar / len(words), len(words)
+
+
+def posterior(text, model, cache):
+    """``(language, probability)`` of a text."""
+    return judged(text, model, cache)[:2]
 
 
 def predict(documents, model, key="doc_id", text="text"):
@@ -213,22 +232,51 @@ def predict(documents, model, key="doc_id", text="text"):
     return kept.select("doc_id", "lang_pred", "score")
 
 
+FOUND = {"lang_pred": T.StringType(), "score": T.DoubleType(), "familiar": T.DoubleType(), "n_words": T.LongType()}
+
+
 def with_language(documents, model, text="text"):
-    """``documents`` with ``lang_pred`` and ``score``; all columns ride along."""
+    """``documents`` with ``lang_pred``, ``score``, ``familiar`` and ``n_words``, in place of columns of these names."""
+    documents = documents.drop(*FOUND)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64())
 
     def scored(batches):
         cache = {}
         model = shared.value
         for batch in batches:
-            found = [posterior(t, model, cache) for t in batch.column(batch.schema.names.index(text)).to_pylist()]
-            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lang_pred", "score"])
+            found = [judged(t, model, cache) for t in batch.column(batch.schema.names.index(text)).to_pylist()]
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *FOUND])
 
-    schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*documents.schema.fields, *(T.StructField(n, t) for n, t in FOUND.items())])
     return documents.mapInArrow(scored, schema)
 
 
+def least_familiar(documents, model, lang="lang", text="text", key="doc_id", sample=SAMPLE):
+    """An expression telling whether a text is familiar enough to be in a language the model knows.
+
+    The familiarity of a text that was not learned from has a mean and a deviation, larger for short texts.  Both are taken
+    from ``sample`` such texts, about, of every language; a text more than ``DEVIATIONS`` below the mean is in no known language.
+    """
+    others = documents.filter(held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    share = min(1.0, sample * max(1, len(model["languages"])) / max(1, others.count()))
+    some = others.filter(F.pmod(F.xxhash64(key, text), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    found = with_language(some.select(F.col(lang).alias("lang"), F.col(text).alias("text")), model).filter("n_words > 0")
+    # Of texts of n words, the squared deviation is about that of long texts, and a part that falls with n.
+    long, short = F.col("n_words") >= LONG, F.col("n_words") < LONG
+    mean = found.filter(F.col("lang_pred") == F.col("lang")).agg(F.avg(F.when(long, F.col("familiar"))).alias("m")).first()["m"]
+    if mean is None:
+        return F.lit(True)
+    off = (F.col("familiar") - mean) ** 2
+    row = found.filter(F.col("lang_pred") == F.col("lang")).agg(
+        F.avg(F.when(long, off)).alias("whole"), F.avg(F.when(short, off * F.col("n_words"))).alias("word")
+    ).first()
+    whole, word = max(row["whole"] or 0.0, LEAST_DEVIATION**2), max(row["word"] or 0.0, LEAST_DEVIATION)
+    spread = F.sqrt(F.lit(whole) + F.lit(word) / F.greatest(F.col("n_words"), F.lit(1)))
+    return F.col("familiar") >= F.lit(mean) - F.lit(DEVIATIONS) * spread
+
+
 def training(documents, key="doc_id"):
     """The four fifths of the documents that a model may learn from."""
     return documents.filter(~held_out(key))
