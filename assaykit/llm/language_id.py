@@ -235,10 +235,13 @@ def predict(documents, model, key="doc_id", text="text"):
 FOUND = {"lang_pred": T.StringType(), "score": T.DoubleType(), "familiar": T.DoubleType(), "n_words": T.LongType()}
 
 
-def with_language(documents, model, text="text"):
-    """``documents`` with ``lang_pred``, ``score``, ``familiar`` and ``n_words``, in place of columns of these names."""
+def with_language(documents, model, text="text", shared=None):
+    """``documents`` with ``lang_pred``, ``score``, ``familiar`` and ``n_words``, in place of columns of these names.
+
+    ``shared`` is the model as a broadcast, where several calls use it: tasks then hold it once.
+    """
     documents = documents.drop(*FOUND)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    shared = shared or documents.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
     kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64())
 
     def scored(batches):
@@ -253,7 +256,7 @@ def with_language(documents, model, text="text"):
     return documents.mapInArrow(scored, schema)
 
 
-def least_familiar(documents, model, lang="lang", text="text", key="doc_id", sample=SAMPLE):
+def least_familiar(documents, model, lang="lang", text="text", key="doc_id", sample=SAMPLE, shared=None):
     """An expression telling whether a text is familiar enough to be in a language the model knows.
 
     The familiarity of a text that was not learned from has a mean and a deviation, larger for short texts.  Both are taken
@@ -262,14 +265,15 @@ def least_familiar(documents, model, lang="lang", text="text", key="doc_id", sam
     others = documents.filter(held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     share = min(1.0, sample * max(1, len(model["languages"])) / max(1, others.count()))
     some = others.filter(F.pmod(F.xxhash64(key, text), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    found = with_language(some.select(F.col(lang).alias("lang"), F.col(text).alias("text")), model).filter("n_words > 0")
+    found = with_language(some.select(F.col(lang).alias("lang"), F.col(text).alias("text")), model, shared=shared).filter("n_words > 0")
     # Of texts of n words, the squared deviation is about that of long texts, and a part that falls with n.
     long, short = F.col("n_words") >= LONG, F.col("n_words") < LONG
-    mean = found.filter(F.col("lang_pred") == F.col("lang")).agg(F.avg(F.when(long, F.col("familiar"))).alias("m")).first()["m"]
+    found = checkpointed(found.filter(F.col("lang_pred") == F.col("lang")).select("familiar", "n_words"))
+    mean = found.agg(F.avg(F.when(long, F.col("familiar"))).alias("m")).first()["m"]
     if mean is None:
         return F.lit(True)
     off = (F.col("familiar") - mean) ** 2
-    row = found.filter(F.col("lang_pred") == F.col("lang")).agg(
+    row = found.agg(
         F.avg(F.when(long, off)).alias("whole"), F.avg(F.when(short, off * F.col("n_words"))).alias("word")
     ).first()
     whole, word = max(row["whole"] or 0.0, LEAST_DEVIATION**2), max(row["word"] or 0.0, LEAST_DEVIATION)
