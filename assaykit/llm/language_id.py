@@ -44,7 +44,8 @@ def _letters():
 TOKEN = re.compile(_letters())
 FLUSH = 200_000  # entries of a task's count table before it is passed on
 PARTS = 32  # parts in which entries are ranked first
-PLACES = 1_000_000  # places of n-grams handled at once
+PLACES = 500_000  # places of n-grams handled at once
+ROWS = 1000  # texts taken out of Arrow at once
 CACHE = 200_000  # backed-off words remembered per task
 UNKNOWN = "und"
 FAMILIAR = 3  # characters of an n-gram that make a place of a word familiar
@@ -54,12 +55,19 @@ DEVIATIONS = 5.0
 LEAST_DEVIATION = 0.02
 
 
+def _few(batches, rows=None):
+    """The batches in slices: the texts of one are held as Python strings at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows or ROWS):
+            yield batch.slice(start, rows or ROWS)
+
+
 def word_counts(documents, lang="lang", text="text"):
     """``(lang, word, n)``, counted within tasks first."""
 
     def counted(batches):
         tables = {}
-        for batch in batches:
+        for batch in _few(batches):
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tables.setdefault(name, Counter()).update(TOKEN.findall((body or "").lower()))
             if sum(map(len, tables.values())) > FLUSH:
@@ -112,10 +120,14 @@ def gram_counts(counts, order=ORDER):
     """``(lang, level, entry, n)``: the n-grams up to ``order`` of counted words, summed within parts of a task."""
 
     def packed(words):
-        rows = [(name, *g) for name, (ws, ns) in words.items() for g in _grams(ws, ns, order)]
-        types = [pa.string(), pa.int32(), pa.string(), pa.int64()]
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "level", "entry", "n"])
+        for name, (ws, ns) in words.items():
+            levels, entries, sums = [], [], []
+            for level, entry, n in _grams(ws, ns, order):
+                levels.append(level)
+                entries.append(entry)
+                sums.append(n)
+            columns = [pa.repeat(name, len(sums)), pa.array(levels, pa.int32()), pa.array(entries, pa.string()), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "level", "entry", "n"])
 
     def cut(batches):
         words, held = {}, 0
@@ -126,10 +138,9 @@ def gram_counts(counts, order=ORDER):
                 ns.append(n)
                 held += len(word) + 2
                 if held >= PLACES:
-                    yield packed(words)
+                    yield from packed(words)
                     words, held = {}, 0
-        if words:
-            yield packed(words)
+        yield from packed(words)
 
     return counts.select("lang", "word", "n").mapInArrow(cut, "lang string, level int, entry string, n long")
 
@@ -247,7 +258,7 @@ def with_language(documents, model, text="text", shared=None):
     def scored(batches):
         cache = {}
         model = shared.value
-        for batch in batches:
+        for batch in _few(batches):
             found = [judged(t, model, cache) for t in batch.column(batch.schema.names.index(text)).to_pylist()]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *FOUND])
