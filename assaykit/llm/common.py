@@ -4,12 +4,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from assaykit.session import checkpointed, ensure_checkpoint_dir
 
 # A lookup table is broadcast below this many narrow rows, and joined by shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
+TEXTS = 1000  # taken out of Arrow at once
+TEXT_BYTES = 1 << 21  # of these texts, unless a single one is longer
 
 
 def read(spark, folder, name):
@@ -31,6 +34,20 @@ def stored(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(batches, column):
+    """The batches in slices of bounded texts: those of one are held as Python strings at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > start and (i - start == TEXTS or held + size > TEXT_BYTES):
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if batch.num_rows:
+            yield batch.slice(start)
+
+
 def hash_bitmap(hashes, column, size, most=27):
     """``(bytes, shift)``: a bitmap of the leading bits of 64-bit hashes, at most ``2 ** most`` bits (16 MB).
 

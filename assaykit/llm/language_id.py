@@ -24,7 +24,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import held_out
+from assaykit.llm.common import few, held_out
 from assaykit.session import checkpointed
 
 WORDS = 60_000
@@ -45,8 +45,7 @@ TOKEN = re.compile(_letters())
 FLUSH = 200_000  # entries of a task's count table before it is passed on
 PARTS = 32  # parts in which entries are ranked first
 PLACES = 500_000  # places of n-grams handled at once
-ROWS = 1000  # texts taken out of Arrow at once
-CACHE = 200_000  # backed-off words remembered per task
+LETTER_BITS = 21  # of a code point
 UNKNOWN = "und"
 FAMILIAR = 3  # characters of an n-gram that make a place of a word familiar
 SAMPLE = 5000  # texts of a language that tell what familiarity is usual
@@ -55,19 +54,12 @@ DEVIATIONS = 5.0
 LEAST_DEVIATION = 0.02
 
 
-def _few(batches, rows=None):
-    """The batches in slices: the texts of one are held as Python strings at a time."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows or ROWS):
-            yield batch.slice(start, rows or ROWS)
-
-
 def word_counts(documents, lang="lang", text="text"):
     """``(lang, word, n)``, counted within tasks first."""
 
     def counted(batches):
         tables = {}
-        for batch in _few(batches):
+        for batch in few(batches, 1):
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tables.setdefault(name, Counter()).update(TOKEN.findall((body or "").lower()))
             if sum(map(len, tables.values())) > FLUSH:
@@ -151,7 +143,7 @@ def fit(documents, lang="lang", text="text", words=WORDS, grams=GRAMS, order=ORD
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
-        return {"languages": [], "index": {}, "table": np.zeros((0, 0), np.float32)}
+        return {"languages": [], "index": {}, "table": np.zeros((0, 0), np.float32), "tree": []}
     parts = gram_counts(counts, order).groupBy("lang", "level", "entry").agg(F.sum("n").alias("n"))
     parts = checkpointed(parts)
     sums = {(r["lang"], r["level"]): r["n"] for r in parts.groupBy("lang", "level").agg(F.sum("n").alias("n")).collect()}
@@ -180,61 +172,88 @@ def fit(documents, lang="lang", text="text", words=WORDS, grams=GRAMS, order=ORD
     total = np.array([[totals[x] if k == 0 else sums[(x, k)] for x in languages] for k in range(order + 1)], float)
     size = np.array([max(1, int((levels == k).sum())) for k in range(order + 1)], float)
     table = np.log(found) - np.log(total[levels] + SMOOTHING * size[levels][:, None])
-    return {"languages": languages, "index": index, "table": table.astype(np.float32), "order": order}
+    return {"languages": languages, "index": index, "table": table.astype(np.float32), "tree": gram_tree(index, order)}
 
 
-def backed_off(word, model):
-    """The score row of an unseen word, the mean over places of the longest known n-gram, and the share of
-    places where that has ``FAMILIAR`` characters or reaches to the end."""
-    index, table, order = model["index"], model["table"], model["order"]
-    padded = f" {word} "
-    rows, familiar = [], 0
-    for i in range(len(padded)):
-        for k in range(min(order, len(padded) - i), 0, -1):
-            row = index.get("\0" + padded[i : i + k])
-            if row is not None:
-                rows.append(row)
-                familiar += k >= min(FAMILIAR, len(padded) - i)
-                break
-    scores = table[rows].mean(axis=0, dtype=np.float64) if rows else np.zeros(table.shape[1])
-    return scores, familiar / len(padded)
+def gram_tree(index, order):
+    """The known n-grams as arrays, a pair per level: sorted keys, and the rows of the table.
 
+    A key is made of the number of the n-gram one shorter, its place in the level before, and the last letter.  A row
+    is -1 where only a longer n-gram is known.
+    """
+    known = {entry[1:]: row for entry, row in index.items() if entry[0] == "\0"}
+    tree, numbers = [], {"": 0}
+    for k in range(1, order + 1):
+        pairs = sorted((numbers[e[:-1]] << LETTER_BITS | ord(e[-1]), e) for e in {e[:k] for e in known if len(e) >= k})
+        numbers = {e: i for i, (_, e) in enumerate(pairs)}
+        tree.append((np.array([key for key, _ in pairs], np.int64), np.array([known.get(e, -1) for e in numbers], np.int64)))
+    return tree
 
-def judged(text, model, cache):
-    """``(language, probability, familiar, words)`` of a text; ``cache`` remembers backed-off words.
 
-    ``familiar`` is the mean over words of 1 for known ones and of the share of familiar places for others.
+def backed_off(words, model):
+    """The score rows of unseen words, means over places of the longest known n-grams, and the shares of
+    places where that has ``FAMILIAR`` characters or reaches to the end."""
+    table = model["table"]
+    scores, familiar = np.zeros((len(words), table.shape[1])), np.zeros(len(words))
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    group = np.cumsum(sizes) // PLACES
+    for of in np.split(np.arange(len(words)), np.flatnonzero(np.diff(group)) + 1):
+        if not len(of):
+            continue
+        codes = np.frombuffer("".join(f" {words[i]} " for i in of).encode("utf-32-le"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(of)), sizes[of])
+        left = np.repeat(np.cumsum(sizes[of]), sizes[of]) - np.arange(len(codes))
+        row, longest = np.full(len(codes), -1), np.zeros(len(codes), np.int64)
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for k, (keys, rows) in enumerate(model["tree"], 1):
+            fits = left[at] >= k
+            at, node = at[fits], node[fits]
+            if not len(at) or not len(keys):
+                break
+            wanted = node << LETTER_BITS | codes[at + k - 1]
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = keys[place] == wanted
+            at, node = at[hit], place[hit]
+            known = rows[node] >= 0
+            row[at[known]], longest[at[known]] = rows[node[known]], k
+        met = row >= 0
+        times = np.maximum(np.bincount(word[met], minlength=len(of)), 1)
+        for j in range(table.shape[1]):
+            scores[of, j] = np.bincount(word[met], table[row[met], j], len(of)) / times
+        near = met & (longest >= np.minimum(FAMILIAR, left))
+        familiar[of] = np.bincount(word[near], minlength=len(of)) / sizes[of]
+    return scores, familiar
+
+
+def judged(texts, model):
+    """``(language, probability, familiar, words)`` of every text.
+
+    ``familiar`` is the mean over words of 1 for known ones and of the share of familiar places for others.  The
+    unseen words of all texts are scored at once, each once.
     """
-    words = TOKEN.findall(text.lower()) if text else []
-    if not model["languages"] or not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
-        return UNKNOWN, 0.0, 0.0, 0
     index, table = model["index"], model["table"]
-    counts = Counter(words)
-    known, times, total, familiar = [], [], np.zeros(table.shape[1], np.float64), 0.0
-    for word, n in counts.items():
-        row = index.get(word)
-        if row is not None:
-            known.append(row)
-            times.append(n)
-            familiar += n
+    bags = [Counter(TOKEN.findall(t.lower())) if t and model["languages"] else {} for t in texts]
+    rows = [np.array([index.get(w, -1) for w in bag], np.int64) for bag in bags]
+    unseen = {}
+    numbers = [[unseen.setdefault(w, len(unseen)) for w, row in zip(bag, at.tolist()) if row < 0] for bag, at in zip(bags, rows)]
+    scores, shares = backed_off(list(unseen), model) if unseen else (None, None)
+    found = []
+    for bag, at, others in zip(bags, rows, numbers):
+        if not any(map(str.isalpha, "".join(bag))):
+            found.append((UNKNOWN, 0.0, 0.0, 0))
             continue
-        found = cache.get(word)
-        if found is None:
-            if len(cache) >= CACHE:
-                cache.clear()
-            found = cache[word] = backed_off(word, model)
-        total += n * found[0]
-        familiar += n * found[1]
-    if known:
-        total += np.array(times, np.float64) @ table[known].astype(np.float64)
-    best = int(total.argmax())
-    probability = float(1 / np.exp(total - total[best]).sum())
-    return model["languages"][best], probability, familiar / len(words), len(words)
-
-
-def posterior(text, model, cache):
-    """``(language, probability)`` of a text."""
-    return judged(text, model, cache)[:2]
+        times = np.fromiter(bag.values(), np.float64, len(bag))
+        total, familiar = np.zeros(table.shape[1]), times[at >= 0].sum()
+        if others:
+            total = (times[at < 0, None] * scores[others]).sum(axis=0)
+            familiar += times[at < 0] @ shares[others]
+        if len(others) < len(at):
+            total += times[at >= 0] @ table[at[at >= 0]].astype(np.float64)
+        best = int(total.argmax())
+        probability = float(1 / np.exp(total - total[best]).sum())
+        words = int(times.sum())
+        found.append((model["languages"][best], probability, float(familiar) / words, words))
+    return found
 
 
 def predict(documents, model, key="doc_id", text="text"):
@@ -254,12 +273,12 @@ def with_language(documents, model, text="text", shared=None):
     documents = documents.drop(*FOUND)
     shared = shared or documents.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
     kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64())
+    place = documents.columns.index(text)
 
     def scored(batches):
-        cache = {}
         model = shared.value
-        for batch in _few(batches):
-            found = [judged(t, model, cache) for t in batch.column(batch.schema.names.index(text)).to_pylist()]
+        for batch in few(batches, place):
+            found = judged(batch.column(place).to_pylist(), model)
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *FOUND])
 
