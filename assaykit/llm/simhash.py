@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import Forest, blocks, hot_lookup, sweep, whole_groups
+from assaykit.llm.common import Forest, blocks, few, hot_lookup, sweep, whole_groups
 from assaykit.operators.components import connected_components
 from assaykit.session import checkpointed
 
@@ -54,7 +54,7 @@ def fingerprints(documents, key="doc_id", text="text"):
     """``(doc_id, fingerprint long)`` of every row."""
 
     def hashed(batches):
-        for batch in batches:
+        for batch in few(batches, 1):
             codes = pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), codes], names=["doc_id", "fingerprint"])
 
