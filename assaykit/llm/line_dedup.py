@@ -34,8 +34,9 @@ from assaykit.llm.common import checked_broadcast, hash_bitmap, hot_lookup, mark
 from assaykit.session import checkpointed
 
 MIN_WORDS = 5
-SENTENCE = re.compile(r"\S(?:.*?(?:[.!?](?=\s)|[。！？])|.*)", re.S)
-NORMAL = re.compile(r"[\W_]+")
+FIRST = re.compile(r"\S")
+STOP = re.compile(r"[.!?](?=\s)|[。！？]")
+NORMAL = re.compile(r"[^\W_]+")
 # Thai, Lao, Burmese, Khmer, kana and Han
 BLANKLESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 LETTER = re.compile(f"[{BLANKLESS}]")
@@ -46,18 +47,34 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 CACHE = 200_000
 
 
+def sentences(line):
+    """``(start, end)`` of the sentences of a line, from a letter or mark to a stop behind it or the end."""
+    spans = []
+    first = FIRST.search(line)
+    while first:
+        stop = STOP.search(line, first.end())
+        spans.append((first.start(), stop.end() if stop else len(line)))
+        first = FIRST.search(line, spans[-1][1])
+    return spans
+
+
 def units(text, least=MIN_WORDS):
     """``(start, end, digest)`` of the lines and sentences of a text, in code points."""
     found = []
     at = 0
+    letters = not text.isascii() and LETTER.search(text) is not None
     for line in text.split("\n"):
-        spans = [m.span() for m in SENTENCE.finditer(line)]
-        if len(spans) > 1:
+        spans = sentences(line)
+        words = [NORMAL.findall(line[a:b].lower()) for a, b in spans]
+        if len(spans) > 1:  # no word reaches over a stop
             spans.append((spans[0][0], len(line.rstrip())))
-        for a, b in spans:
-            normal = NORMAL.sub(" ", line[a:b].lower()).strip()
-            if normal.count(" ") + 1 + len(LETTER.findall(normal)) // 2 >= least:
-                found.append((at + a, at + b, hashlib.blake2b(normal.encode(), digest_size=16).digest()))
+            words.append([w for part in words for w in part])
+        for (a, b), part in zip(spans, words):
+            count = max(1, len(part))
+            if count >= least or letters:
+                normal = " ".join(part)
+                if count + (len(LETTER.findall(normal)) // 2 if letters else 0) >= least:
+                    found.append((at + a, at + b, hashlib.blake2b(normal.encode(), digest_size=16).digest()))
         at += len(line) + 1
     return found
 
@@ -73,14 +90,19 @@ def whole(text, least=SPAN):
     return [(first[0].start(), end, hashlib.blake2b(b"\0" + text.encode(), digest_size=16).digest())]
 
 
+def words_in(text):
+    """The pattern of the words of a text; without letters of blankless scripts the plain one finds the same."""
+    return NORMAL if text.isascii() or not LETTER.search(text) else WORD
+
+
 def word_codes(text, cache):
     """The hashes of the words of a text; ``cache`` remembers words."""
     if len(cache) > CACHE:
         cache.clear()
-    words = WORD.findall(text)
+    words = words_in(text).findall(text)
     for word in set(words).difference(cache):
         cache[word] = xxhash.xxh64_intdigest(word.lower().encode())
-    return np.array([cache[w] for w in words], np.uint64)
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
 def gram_codes(codes, width, base=BASES[0]):
@@ -96,28 +118,39 @@ def gram_codes(codes, width, base=BASES[0]):
     return value ^ (value >> np.uint64(33))
 
 
-def anchors(grams, span=SPAN, gram=GRAM):
-    """The places of the smallest gram of every run of ``span`` words."""
+def own_anchors(grams, span=SPAN, gram=GRAM):
+    """The place of the smallest gram of every run of ``span`` words, run by run."""
     window = span - gram + 1
     if len(grams) < window:
         return np.zeros(0, np.int64)
     least = np.lib.stride_tricks.sliding_window_view(grams, window).argmin(axis=1)
-    return np.unique(least + np.arange(len(least)))
+    return least + np.arange(len(least))
 
 
-def passages(text, known, cache, span=SPAN, gram=GRAM):
-    """``(start, end, digest)`` of every run of ``span`` words of a text that holds a known anchor."""
+def anchors(grams, span=SPAN, gram=GRAM):
+    """The places of the smallest gram of every run of ``span`` words."""
+    return np.unique(own_anchors(grams, span, gram))
+
+
+def passage_arrays(text, known, cache, span=SPAN, gram=GRAM):
+    """Starts, ends and digests (two numbers each) of the runs of ``span`` words whose own anchor is known.
+
+    Equal runs have equal anchors at the same place of the run, so no other run can be a repeat.
+    """
     codes = word_codes(text, cache)
     grams = gram_codes(codes, gram)
-    places = anchors(grams, span, gram)
-    places = places[np.isin(grams[places], known)]
-    if not len(places):
-        return []
-    spots = [m.span() for m in WORD.finditer(text)]
-    at = np.unique(places[:, None] - np.arange(span - gram + 1))
-    at = at[(at >= 0) & (at <= len(codes) - span)]
+    at = np.flatnonzero(np.isin(grams[own_anchors(grams, span, gram)], known))
+    if not len(at):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((0, 2), np.uint64)
+    spots = np.array([m.span() for m in words_in(text).finditer(text)], np.int32)
     digests = np.stack([gram_codes(codes, span, base)[at] for base in BASES], axis=1)
-    return [(spots[i][0], spots[i + span - 1][1], digest.tobytes()) for i, digest in zip(at.tolist(), digests)]
+    return spots[at, 0], spots[at + span - 1, 1], digests
+
+
+def passages(text, known, cache, span=SPAN, gram=GRAM):
+    """``(start, end, digest)`` of every run of ``span`` words of a text that may be a repeat by its anchor."""
+    starts, ends, digests = passage_arrays(text, known, cache, span, gram)
+    return [(a, b, digest.tobytes()) for a, b, digest in zip(starts.tolist(), ends.tolist(), digests)]
 
 
 def passage_table(documents, key="doc_id", text="text"):
@@ -135,22 +168,35 @@ def passage_table(documents, key="doc_id", text="text"):
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(flat, pa.int64())], names=["uid", "anchor"])
 
     def cut(batches):
-        cache = {}
+        cache, held, size = {}, [], 0
         for batch in batches:
             for doc, mark, body, known in zip(*(batch.column(c) for c in range(4))):
-                known = np.array(known.as_py(), np.int64).view(np.uint64)
-                found = passages(body.as_py(), known, cache)
-                if found:
-                    a, b, digest = zip(*found)
-                    same = lambda v: pa.array([v.as_py()] * len(a), pa.int64())
-                    columns = [same(doc), same(mark), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(digest, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "start", "end", "digest"])
+                known = known.values.to_numpy().view(np.uint64)
+                found = passage_arrays(body.as_py(), known, cache)
+                if len(found[0]):
+                    held.append((doc.as_py(), mark.as_py(), *found))
+                    size += len(found[0])
+                if size >= 50_000:
+                    yield joined(held)
+                    held, size = [], 0
+        if held:
+            yield joined(held)
+
+    def joined(held):
+        docs, marks, starts, ends, digests = zip(*held)
+        counts = [len(a) for a in starts]
+        each = pa.array(np.repeat(np.arange(len(held)), counts))
+        flat = np.concatenate(digests)
+        places = pa.py_buffer(np.arange(len(flat) + 1, dtype=np.int32) * 16)
+        columns = [pa.array(v, pa.int64()).take(each) for v in (docs, marks)] + [pa.array(np.concatenate(v)) for v in (starts, ends)]
+        columns.append(pa.Array.from_buffers(pa.binary(), len(flat), [None, places, pa.py_buffer(flat.tobytes())]))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "start", "end", "digest"])
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     copies = rows.groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = rows.join(checked_broadcast(copies), "text_key", "left").filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("head.doc_id")))
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "text_key"))
-    seen = checkpointed(rows.select("uid", "text").mapInArrow(anchored, "uid long, anchor long"))
+    seen = stored(rows.select("uid", "text").mapInArrow(anchored, "uid long, anchor long"))
     counts = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     known = hot_lookup(seen, counts, ["anchor"], "n", how="inner").groupBy("uid").agg(F.collect_set("anchor").alias("known"))
     tried = rows.join(checked_broadcast(known, entries=F.size("known")), "uid").select("doc_id", "text_key", "text", "known")

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from assaykit.llm import common, line_dedup, queries
 
 
@@ -85,3 +87,23 @@ def test_few_marks_let_more_pass(spark, monkeypatch):
     real = common.hash_bitmap
     monkeypatch.setattr(line_dedup, "hash_bitmap", lambda hashes, column, size: (b"\xff" * 4096, 49) if real(hashes, column, size) else None)
     assert len(plain) == 260 and sorted(map(str, line_dedup.deduplicated(df).collect())) == plain
+
+
+def test_runs_without_a_known_anchor_are_left():
+    """Equal runs share their own anchor: a run that merely overlaps a known one is no candidate, and no repeat is lost."""
+    words = [f"w{i}" for i in range(200)]
+    edited = words[:100] + ["changed"] + words[101:]
+    grams = [line_dedup.gram_codes(line_dedup.word_codes(" ".join(t), {}), line_dedup.GRAM) for t in (words, edited)]
+    known = np.intersect1d(*[g[line_dedup.anchors(g)] for g in grams])
+    runs = [{d for *_, d in line_dedup.passages(" ".join(t), known, {})} for t in (words, edited)]
+    both = {" ".join(words[i : i + 50]) for i in range(151)} & {" ".join(edited[i : i + 50]) for i in range(151)}
+    assert len(runs[0] & runs[1]) == len(both) == 101
+    touching = 50 - len({i for i in range(51, 101) if grams[1][line_dedup.own_anchors(grams[1])[i]] not in known})
+    assert touching < 50 and len(runs[1]) == 101 + touching
+
+
+def test_sentences_and_lines():
+    line = " ! One two. Three 4.5 four?  Five。Six！ seven "
+    assert [line[a:b] for a, b in line_dedup.sentences(line)] == ["! One two.", "Three 4.5 four?", "Five。", "Six！", "seven "]
+    spans = line_dedup.units("a b. c d_e f\nx", 2)
+    assert [s[:2] for s in spans] == [(0, 4), (5, 12), (0, 12)]
