@@ -132,14 +132,21 @@ def anchors(grams, span=SPAN, gram=GRAM):
     return np.unique(own_anchors(grams, span, gram))
 
 
+def mixed(grams):
+    """Hashes of grams whose leading bits are spread evenly, also those of small ones, and the same turned by half."""
+    first = grams * np.uint64(BASES[0])
+    return first, first << np.uint64(32) | first >> np.uint64(32)
+
+
 def passage_arrays(text, known, cache, span=SPAN, gram=GRAM):
     """Starts, ends and digests (two numbers each) of the runs of ``span`` words whose own anchor is known.
 
     Equal runs have equal anchors at the same place of the run, so no other run can be a repeat.
+    ``known`` tells of anchors whether they are.
     """
     codes = word_codes(text, cache)
     grams = gram_codes(codes, gram)
-    at = np.flatnonzero(np.isin(grams[own_anchors(grams, span, gram)], known))
+    at = np.flatnonzero(known(grams[own_anchors(grams, span, gram)]))
     if not len(at):
         return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((0, 2), np.uint64)
     spots = np.array([m.span() for m in words_in(text).finditer(text)], np.int32)
@@ -149,30 +156,36 @@ def passage_arrays(text, known, cache, span=SPAN, gram=GRAM):
 
 def passages(text, known, cache, span=SPAN, gram=GRAM):
     """``(start, end, digest)`` of every run of ``span`` words of a text that may be a repeat by its anchor."""
-    starts, ends, digests = passage_arrays(text, known, cache, span, gram)
+    starts, ends, digests = passage_arrays(text, lambda grams: np.isin(grams, known), cache, span, gram)
     return [(a, b, digest.tobytes()) for a, b, digest in zip(starts.tolist(), ends.tolist(), digests)]
 
 
 def passage_table(documents, key="doc_id", text="text"):
-    """``(doc_id, text_key, start, end, digest)`` of the runs of words that may be repeats, of the first copy of a text."""
+    """``(doc_id, text_key, start, end, digest)`` of the runs of words that may be repeats, of the first copy of a text.
+
+    Two bitmaps tell which anchors repeat, as ``repeated`` does for units, so no text is shuffled to its anchors.
+    """
 
     def anchored(batches):
         cache = {}
         for batch in batches:
             found = []
-            for body in batch.column(1).to_pylist():
+            for body in batch.column(0).to_pylist():
                 grams = gram_codes(word_codes(body or "", cache), GRAM)
-                found.append(grams[anchors(grams)])
-            uids = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+                found.append(mixed(grams[anchors(grams)])[0])
             flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(flat, pa.int64())], names=["uid", "anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64())], names=["anchor"])
 
     def cut(batches):
         cache, held, size = {}, [], 0
+
+        def known(grams):
+            first, turned = mixed(grams)
+            return marked(bitmaps.value[0], first) & marked(bitmaps.value[1], turned)
+
         for batch in batches:
-            for doc, mark, body, known in zip(*(batch.column(c) for c in range(4))):
-                known = known.values.to_numpy().view(np.uint64)
-                found = passage_arrays(body.as_py(), known, cache)
+            for doc, mark, body in zip(*(batch.column(c) for c in range(3))):
+                found = passage_arrays(body.as_py() or "", known, cache)
                 if len(found[0]):
                     held.append((doc.as_py(), mark.as_py(), *found))
                     size += len(found[0])
@@ -195,12 +208,12 @@ def passage_table(documents, key="doc_id", text="text"):
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     copies = rows.groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = rows.join(checked_broadcast(copies), "text_key", "left").filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("head.doc_id")))
-    rows = rows.withColumn("uid", F.xxhash64("doc_id", "text_key"))
-    seen = stored(rows.select("uid", "text").mapInArrow(anchored, "uid long, anchor long"))
-    counts = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    known = hot_lookup(seen, counts, ["anchor"], "n", how="inner").groupBy("uid").agg(F.collect_set("anchor").alias("known"))
-    tried = rows.join(checked_broadcast(known, entries=F.size("known")), "uid").select("doc_id", "text_key", "text", "known")
-    return tried.mapInArrow(cut, "doc_id long, text_key long, start int, end int, digest binary")
+    seen = rows.select("text").mapInArrow(anchored, "anchor long")
+    several = checkpointed(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
+    turned = several.select(F.shiftleft("anchor", 32).bitwiseOR(F.shiftrightunsigned("anchor", 32)).alias("anchor"))
+    size = several.count()
+    bitmaps = rows.sparkSession.sparkContext.broadcast(tuple(hash_bitmap(v, "anchor", size) for v in (several, turned)))
+    return rows.select("doc_id", "text_key", "text").mapInArrow(cut, "doc_id long, text_key long, start int, end int, digest binary")
 
 
 def unit_table(documents, key="doc_id", text="text", least=MIN_WORDS):

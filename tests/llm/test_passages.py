@@ -107,3 +107,12 @@ def test_sentences_and_lines():
     assert [line[a:b] for a, b in line_dedup.sentences(line)] == ["! One two.", "Three 4.5 four?", "Five。", "Six！", "seven "]
     spans = line_dedup.units("a b. c d_e f\nx", 2)
     assert [s[:2] for s in spans] == [(0, 4), (5, 12), (0, 12)]
+
+
+def test_texts_are_not_shuffled_to_their_anchors(spark):
+    """Repeated anchors come back as bitmaps: the texts themselves take part in no shuffle, whatever repeats."""
+    words = " ".join(f"w{i}" for i in range(120))
+    df = spark.createDataFrame([(i, f"{words} end{i}") for i in range(6)], "doc_id long, text string")
+    table = line_dedup.passage_table(df)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 1 and table.groupBy("digest").count().filter("count > 1").count() == 71
