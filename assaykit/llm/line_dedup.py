@@ -23,14 +23,15 @@ apart by a hash of the text; rows equal in both are one document.  Rows without
 
 import hashlib
 import re
+import sys
+from functools import cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import checked_broadcast, hash_bitmap, hot_lookup, marked, stored
+from assaykit.llm.common import checked_broadcast, few, hash_bitmap, hot_lookup, marked, stored
 from assaykit.session import checkpointed
 
 MIN_WORDS = 5
@@ -44,7 +45,8 @@ WORD = re.compile(rf"[{BLANKLESS}]|[^\W_{BLANKLESS}]+")
 SPAN = 50
 GRAM = 25
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-CACHE = 200_000
+BREAK = re.compile(r"[\W_]")
+PORTION = 1 << 17  # characters whose words are cut at once
 
 
 def sentences(line):
@@ -90,19 +92,101 @@ def whole(text, least=SPAN):
     return [(first[0].start(), end, hashlib.blake2b(b"\0" + text.encode(), digest_size=16).digest())]
 
 
-def words_in(text):
-    """The pattern of the words of a text; without letters of blankless scripts the plain one finds the same."""
-    return NORMAL if text.isascii() or not LETTER.search(text) else WORD
+@cache
+def letter_values():
+    """By code point: a number for the lower-case letter, 0 outside words; and which letters are words by themselves."""
+    plain = "".join(map(chr, range(sys.maxunicode + 1)))
+    values = points_mixed(np.frombuffer(plain.replace("\u0130", "i").lower().encode("utf-32-le", "surrogatepass"), np.uint32))
+    inside, alone = np.zeros((2, len(plain)), bool)
+    for pattern, marks in ((NORMAL, inside), (LETTER, alone)):
+        for found in re.finditer(f"(?:{pattern.pattern})+", plain):
+            marks[slice(*found.span())] = True
+    values[~(inside | alone)] = 0
+    return values, alone
+
+
+def points_mixed(points):
+    """A 64-bit number for every code point; only that of 0 is 0."""
+    value = (points.astype(np.uint64) << np.uint64(1)) * np.uint64(BASES[1])
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return value ^ (value >> np.uint64(32))
+
+
+def powers(memory, count):
+    """``count`` powers of a base at least, and those of its inverse; ``memory`` keeps them."""
+    if len(memory.get("powers", ())) < count:
+        bases = (BASES[0], pow(BASES[0], -1, 2**64))
+        memory["powers"], memory["back"] = (np.multiply.accumulate(np.full(max(count, 2 * PORTION), b, np.uint64)) for b in bases)
+    return memory["powers"], memory["back"]
+
+
+def cut_words(text, memory):
+    """``(codes, starts, ends)``: a hash of every word in lower case, and where it stands, for all letters at once."""
+    values, alone = letter_values()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    value = values[points]
+    inside = value != 0
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    if not text.isascii():
+        own = alone[points]
+        first |= own
+        first[1:] |= own[:-1] & inside[1:]
+    last[:-1] &= ~inside[1:] | first[1:]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    power, back = powers(memory, len(points))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[: len(points)], dtype=np.uint64)])
+    codes = (sums[ends] - sums[starts]) * back[starts]
+    # Two letters whose lower case is not one letter of its own.
+    odd = np.flatnonzero((points == 0x130) | (points == 0x3A3)) if "\u0130" in text or "\u03a3" in text else ()
+    for i in np.unique(np.searchsorted(starts, odd, side="right") - 1) if len(odd) else ():
+        lower = points_mixed(np.frombuffer(text[starts[i] : ends[i]].lower().encode("utf-32-le"), np.uint32))
+        power, back = powers(memory, len(lower))
+        codes[i : i + 1] = (lower * power[: len(lower)]).sum(keepdims=True, dtype=np.uint64) * back[:1]
+    return spread(codes), starts, ends
+
+
+def spread(value):
+    value = (value ^ (value >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return value ^ (value >> np.uint64(33))
 
 
-def word_codes(text, cache):
-    """The hashes of the words of a text; ``cache`` remembers words."""
-    if len(cache) > CACHE:
-        cache.clear()
-    words = words_in(text).findall(text)
-    for word in set(words).difference(cache):
-        cache[word] = xxhash.xxh64_intdigest(word.lower().encode())
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+def portions(texts):
+    """The texts joined to strings of about ``PORTION`` characters, long ones cut between words.
+
+    Of every string also the places of its pieces, the texts they are of, and how far they stand from their place there.
+    """
+    held, size = [], 0
+    for number, text in enumerate(texts):
+        start = 0
+        while start < len(text):
+            stop = BREAK.search(text, start + PORTION)
+            end = stop.start() if stop else len(text)
+            held.append((size, number, start - size, text[start:end]))
+            size += end - start + 1
+            start = end
+            if size > PORTION:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def word_table(texts, memory):
+    """``(codes, owners, starts, ends)`` of the words of all texts: hashes, numbers of the texts, places in them."""
+    found = [(np.zeros(0, np.uint64), *np.zeros((3, 0), np.int64))]
+    for held in portions(texts):
+        places, numbers, moved, pieces = zip(*held)
+        codes, starts, ends = cut_words("\n".join(pieces), memory)
+        piece = np.searchsorted(places, starts, side="right") - 1
+        moved = np.array(moved)[piece]
+        found.append((codes, np.array(numbers)[piece], starts + moved, ends + moved))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def word_codes(text, memory):
+    """The hashes of the words of a text."""
+    return word_table([text], memory)[0]
 
 
 def gram_codes(codes, width, base=BASES[0]):
@@ -113,18 +197,22 @@ def gram_codes(codes, width, base=BASES[0]):
     powers = np.multiply.accumulate(np.full(len(codes), base, np.uint64))
     back = np.multiply.accumulate(np.full(count, pow(base, -1, 2**64), np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers, dtype=np.uint64)])
-    value = (sums[width:] - sums[:-width]) * back
-    value = (value ^ (value >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return value ^ (value >> np.uint64(33))
+    return spread((sums[width:] - sums[:-width]) * back)
 
 
 def own_anchors(grams, span=SPAN, gram=GRAM):
-    """The place of the smallest gram of every run of ``span`` words, run by run."""
+    """The place of the smallest gram, the first of them, of every run of ``span`` words, run by run."""
     window = span - gram + 1
     if len(grams) < window:
         return np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(grams, window).argmin(axis=1)
-    return least + np.arange(len(least))
+
+    def smaller(left, right):
+        return np.where(grams[right] < grams[left], right, left)
+
+    least, size = np.arange(len(grams)), 1
+    while 2 * size <= window:
+        least, size = smaller(least[:-size], least[size:]), 2 * size
+    return smaller(least[: len(grams) - window + 1], least[window - size :])
 
 
 def anchors(grams, span=SPAN, gram=GRAM):
@@ -138,25 +226,35 @@ def mixed(grams):
     return first, first << np.uint64(32) | first >> np.uint64(32)
 
 
-def passage_arrays(text, known, cache, span=SPAN, gram=GRAM):
-    """Starts, ends and digests (two numbers each) of the runs of ``span`` words whose own anchor is known.
+def within(owners, span=SPAN):
+    """Which runs of ``span`` words lie in one text."""
+    count = max(0, len(owners) - span + 1)
+    return owners[:count] == owners[len(owners) - count :]
+
+
+def text_anchors(texts, memory):
+    """The anchors of all texts, one for each place."""
+    codes, owners, _, _ = word_table(texts, memory)
+    grams = gram_codes(codes, GRAM)
+    return grams[np.unique(own_anchors(grams)[within(owners)])]
+
+
+def passage_arrays(texts, known, memory, span=SPAN, gram=GRAM):
+    """Texts' numbers, starts, ends and digests (two numbers each) of the runs of ``span`` words whose own anchor is known.
 
     Equal runs have equal anchors at the same place of the run, so no other run can be a repeat.
     ``known`` tells of anchors whether they are.
     """
-    codes = word_codes(text, cache)
+    codes, owners, starts, ends = word_table(texts, memory)
     grams = gram_codes(codes, gram)
-    at = np.flatnonzero(known(grams[own_anchors(grams, span, gram)]))
-    if not len(at):
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((0, 2), np.uint64)
-    spots = np.array([m.span() for m in words_in(text).finditer(text)], np.int32)
+    at = np.flatnonzero(known(grams)[own_anchors(grams, span, gram)] & within(owners, span))
     digests = np.stack([gram_codes(codes, span, base)[at] for base in BASES], axis=1)
-    return spots[at, 0], spots[at + span - 1, 1], digests
+    return owners[at], starts[at], ends[at + span - 1], digests
 
 
-def passages(text, known, cache, span=SPAN, gram=GRAM):
+def passages(text, known, memory, span=SPAN, gram=GRAM):
     """``(start, end, digest)`` of every run of ``span`` words of a text that may be a repeat by its anchor."""
-    starts, ends, digests = passage_arrays(text, lambda grams: np.isin(grams, known), cache, span, gram)
+    _, starts, ends, digests = passage_arrays([text], lambda grams: np.isin(grams, known), memory, span, gram)
     return [(a, b, digest.tobytes()) for a, b, digest in zip(starts.tolist(), ends.tolist(), digests)]
 
 
@@ -167,42 +265,27 @@ def passage_table(documents, key="doc_id", text="text"):
     """
 
     def anchored(batches):
-        cache = {}
-        for batch in batches:
-            found = []
-            for body in batch.column(0).to_pylist():
-                grams = gram_codes(word_codes(body or "", cache), GRAM)
-                found.append(mixed(grams[anchors(grams)])[0])
-            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64())], names=["anchor"])
+        memory = {}
+        for batch in few(batches, 0):
+            flat = mixed(text_anchors([body or "" for body in batch.column(0).to_pylist()], memory))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["anchor"])
 
     def cut(batches):
-        cache, held, size = {}, [], 0
+        memory = {}
 
         def known(grams):
             first, turned = mixed(grams)
             return marked(bitmaps.value[0], first) & marked(bitmaps.value[1], turned)
 
-        for batch in batches:
-            for doc, mark, body in zip(*(batch.column(c) for c in range(3))):
-                found = passage_arrays(body.as_py() or "", known, cache)
-                if len(found[0]):
-                    held.append((doc.as_py(), mark.as_py(), *found))
-                    size += len(found[0])
-                if size >= 50_000:
-                    yield joined(held)
-                    held, size = [], 0
-        if held:
-            yield joined(held)
-
-    def joined(held):
-        docs, marks, starts, ends, digests = zip(*held)
-        counts = [len(a) for a in starts]
-        each = pa.array(np.repeat(np.arange(len(held)), counts))
-        flat = np.concatenate(digests)
-        places = pa.py_buffer(np.arange(len(flat) + 1, dtype=np.int32) * 16)
-        columns = [pa.array(v, pa.int64()).take(each) for v in (docs, marks)] + [pa.array(np.concatenate(v)) for v in (starts, ends)]
-        columns.append(pa.Array.from_buffers(pa.binary(), len(flat), [None, places, pa.py_buffer(flat.tobytes())]))
+        for batch in few(batches, 2):
+            found = passage_arrays([body or "" for body in batch.column(2).to_pylist()], known, memory)
+            for start in range(0, len(found[0]), 50_000):
+                yield joined(batch, *(column[start : start + 50_000] for column in found))
+
+    def joined(batch, owners, starts, ends, digests):
+        places = pa.py_buffer(np.arange(len(owners) + 1, dtype=np.int32) * 16)
+        columns = [batch.column(c).take(pa.array(owners)) for c in range(2)] + [pa.array(v, pa.int32()) for v in (starts, ends)]
+        columns.append(pa.Array.from_buffers(pa.binary(), len(owners), [None, places, pa.py_buffer(digests.tobytes())]))
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "start", "end", "digest"])
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))

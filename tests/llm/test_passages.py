@@ -102,6 +102,28 @@ def test_runs_without_a_known_anchor_are_left():
     assert touching < 50 and len(runs[1]) == 101 + touching
 
 
+def test_words_of_many_texts_at_once(monkeypatch):
+    """The words of all texts are cut together: the same places as the pattern's, and equal codes for equal lower case."""
+    draw = random.Random(5)
+    texts = ["", "İstanbul ΟΔΟΣ οδος ΣΑΣ_ΑΣ'Α", "甲乙abc丙 กขิ x", "Straße STRASSE ǅ K k", "_a__b_ ..."]
+    texts += ["".join(draw.choice("aB İΣσς甲กิ_.'7é²\U00020000") for _ in range(80)) for _ in range(200)]
+    want = [(i, m.start(), m.end(), m.group().lower()) for i, t in enumerate(texts) for m in line_dedup.WORD.finditer(t)]
+    for portion in (line_dedup.PORTION, 37):
+        monkeypatch.setattr(line_dedup, "PORTION", portion)
+        codes, *places = line_dedup.word_table(texts, {})
+        assert [w[:3] for w in want] == list(zip(*(p.tolist() for p in places)))
+        pairs = {(word, code) for (*_, word), code in zip(want, codes.tolist())}
+        assert len(pairs) == len({w for w, _ in pairs}) == len({c for _, c in pairs})
+
+
+def test_own_anchor_is_the_first_of_the_smallest():
+    draw = np.random.default_rng(3)
+    for size in range(0, 120, 7):
+        grams = draw.integers(0, 9, size).astype(np.uint64)
+        want = [i + int(grams[i : i + 26].argmin()) for i in range(max(0, size - 25))]
+        assert line_dedup.own_anchors(grams).tolist() == want
+
+
 def test_sentences_and_lines():
     line = " ! One two. Three 4.5 four?  Five。Six！ seven "
     assert [line[a:b] for a, b in line_dedup.sentences(line)] == ["! One two.", "Three 4.5 four?", "Five。", "Six！", "seven "]
