@@ -36,7 +36,7 @@ from assaykit.session import checkpointed
 
 MIN_WORDS = 5
 FIRST = re.compile(r"\S")
-STOP = re.compile(r"[.!?](?=\s)|[。！？]")
+STOP = re.compile(r"[.!?。！？](?:(?<=[。！？])|(?=\s))")  # begins with one set of letters, which is searched fast
 NORMAL = re.compile(r"[^\W_]+")
 # Thai, Lao, Burmese, Khmer, kana and Han
 BLANKLESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
