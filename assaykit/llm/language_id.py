@@ -48,7 +48,6 @@ PLACES = 500_000  # places of n-grams handled at once
 LETTER_BITS = 21  # of a code point
 UNKNOWN = "und"
 FAMILIAR = 3  # characters of an n-gram that make a place of a word familiar
-SAMPLE = 5000  # texts of a language that tell what familiarity is usual
 LONG = 20  # words of a text whose familiarity hardly varies by chance
 DEVIATIONS = 5.0
 LEAST_DEVIATION = 0.02
@@ -286,16 +285,14 @@ def with_language(documents, model, text="text", shared=None):
     return documents.mapInArrow(scored, schema)
 
 
-def least_familiar(documents, model, lang="lang", text="text", key="doc_id", sample=SAMPLE, shared=None):
+def least_familiar(documents, model, lang="lang", text="text", key="doc_id", shared=None):
     """An expression telling whether a text is familiar enough to be in a language the model knows.
 
     The familiarity of a text that was not learned from has a mean and a deviation, larger for short texts.  Both are taken
-    from ``sample`` such texts, about, of every language; a text more than ``DEVIATIONS`` below the mean is in no known language.
+    from all such texts; a text more than ``DEVIATIONS`` below the mean is in no known language.
     """
     others = documents.filter(held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, sample * max(1, len(model["languages"])) / max(1, others.count()))
-    some = others.filter(F.pmod(F.xxhash64(key, text), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    found = with_language(some.select(F.col(lang).alias("lang"), F.col(text).alias("text")), model, shared=shared).filter("n_words > 0")
+    found = with_language(others.select(F.col(lang).alias("lang"), F.col(text).alias("text")), model, shared=shared).filter("n_words > 0")
     # Of texts of n words, the squared deviation is about that of long texts, and a part that falls with n.
     long, short = F.col("n_words") >= LONG, F.col("n_words") < LONG
     found = checkpointed(found.filter(F.col("lang_pred") == F.col("lang")).select("familiar", "n_words"))

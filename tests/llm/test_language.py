@@ -1,9 +1,11 @@
 """Texts are handled in bounded portions, and unseen words together, against plain Python versions."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from assaykit.llm import common, language_id
 
@@ -37,3 +39,16 @@ def test_unseen_words_together(monkeypatch):
                 near += known[-1] >= min(language_id.FAMILIAR, len(padded) - i)
         want = table[rows].mean(axis=0, dtype=np.float64) if rows else np.zeros(3)
         assert np.allclose(score, want) and share == near / len(padded)
+
+
+def test_usual_familiarity_is_that_of_all_texts(spark, monkeypatch):
+    """Over 5,000 texts of one language that were not learned from: all of them tell the mean and the deviation."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("lang"), F.format_string("word abc%d", "id").alias("text"))
+    docs = docs.unionByName(docs.limit(1).select("doc_id", "lang", F.lit(None).cast("string").alias("text")))
+    model = language_id.fit(language_id.training(docs), words=100, grams=100)
+    seen = []
+    scored = language_id.with_language
+    monkeypatch.setattr(language_id, "with_language", lambda texts, *given, **named: seen.append(texts) or scored(texts, *given, **named))
+    language_id.least_familiar(docs, model)
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(30_000))
+    assert held > 5000 and [t.count() for t in seen] == [held]
